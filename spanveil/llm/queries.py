@@ -5,12 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from spanveil.llm.language_id import identify, train
+from spanveil.llm.sharding import shard
 from spanveil.llm.substring_dedup import substring_dedup
 from spanveil.llm.suffix_array_dedup import suffix_array_dedup
 from spanveil.session import table
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"), 40)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(4)) == 2
+    model = train(docs, ~held)
+    return identify(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"), width=35, keep_text=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -22,6 +36,8 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
+    "op2_language_id": op2_language_id,
     "op4_substring_dedup": op4_substring_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
