@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from spanveil.llm.language_id import identify, train
 from spanveil.llm.quality_rules import quality
+from spanveil.llm.sentencepiece_codec import encode
 from spanveil.llm.sharding import shard
 from spanveil.llm.substring_dedup import substring_dedup
 from spanveil.llm.suffix_array_dedup import suffix_array_dedup
 from spanveil.session import table
 
+#: A model file of a public tokenizer, read on the driver.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), 40)
@@ -31,6 +35,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity")
@@ -45,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
     "op4_substring_dedup": op4_substring_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
