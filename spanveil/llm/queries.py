@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanveil.llm.jaccard_join import jaccard_components
 from spanveil.llm.language_id import identify, train
 from spanveil.llm.quality_rules import quality
 from spanveil.llm.sentencepiece_codec import encode
@@ -35,6 +36,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), PIECES)
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
