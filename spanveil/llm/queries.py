@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from spanveil.llm.jaccard_join import jaccard_components
 from spanveil.llm.language_id import identify, train
+from spanveil.llm.line_dedup import drop_lines
+from spanveil.llm.personal_data import detect
 from spanveil.llm.quality_rules import quality
 from spanveil.llm.sentencepiece_codec import encode
 from spanveil.llm.sharding import shard
@@ -36,10 +38,18 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), PIECES)
 
@@ -58,7 +68,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_personal_data": op7_personal_data,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
