@@ -12,8 +12,9 @@ def finding_key(kind: Column, start: Column, end: Column, value: Column) -> Colu
 
 
 def review_state(findings: DataFrame, decisions: DataFrame, doc: str, key: str, decision: str) -> DataFrame:
-    """Per document: how many findings are approved or overridden, and the status that follows. Other decisions don't count."""
-    valid = decisions.filter(F.col(decision).isin("approved", "overridden")).select(doc, key, decision)
+    """Per document: how many findings are approved or overridden, and the status that follows. Other decisions don't count;
+    of two about one finding an override does."""
+    valid = decisions.filter(F.col(decision).isin("approved", "overridden")).groupBy(doc, key).agg(F.max(decision).alias(decision))
     joined = findings.select(doc, key).distinct().join(valid, [doc, key], "left")
     out = joined.groupBy(doc).agg(F.count("*").alias("finding_count"), F.count_if(F.col(decision) == "approved").alias("approved_count"), F.count_if(F.col(decision) == "overridden").alias("override_count"))
     done = F.col("approved_count") + F.col("override_count")

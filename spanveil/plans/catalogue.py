@@ -21,3 +21,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return put
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from spanveil.plans import decisions, detection  # noqa: F401

@@ -33,7 +33,7 @@ def handler(event: Column) -> Column:
 
 def windowed_count(events: DataFrame, tenant: str, ts: str, seconds: int) -> DataFrame:
     """``events`` with n: events of the tenant in the ``seconds`` up to each, that long ago exclusive. No reset."""
-    micros = F.unix_micros(ts)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     w = Window.partitionBy(tenant).orderBy(micros).rangeBetween(-(seconds * 1_000_000 - 1), 0)
     return events.withColumn("n", F.count("*").over(w))
 
@@ -64,7 +64,7 @@ def escalate(events: DataFrame, tenant: str, ts: str, seconds: int = BLOCKED[0],
                 rows += [(who, when, n) for _, n in found]
             yield pd.DataFrame(rows, columns=["tenant", "us", "count"]).astype({"us": "int64", "count": "int64"})
 
-    rows = events.filter(F.col(tenant).isNotNull() & F.col(ts).isNotNull()).select(F.col(tenant).cast("string").alias("tenant"), F.unix_micros(ts).alias("us"))
+    rows = events.filter(F.col(tenant).isNotNull() & F.col(ts).isNotNull()).select(F.col(tenant).cast("string").alias("tenant"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
     # sorted within partitions and read in batches: a tenant with very many events never has to fit in memory
     out = rows.repartition("tenant").sortWithinPartitions("tenant", "us").mapInPandas(run, "tenant string, us long, count long")
     return out.select("tenant", F.timestamp_micros("us").alias("ts"), F.lit(kind).alias("kind"), F.lit("high").alias("severity"), "count")
@@ -92,6 +92,6 @@ def stream(events: DataFrame, tenant: str, ts: str, seconds: int = BLOCKED[0], l
             state.remove()
         yield pd.DataFrame({"tenant": [key[0]] * len(found), "us": [int(t * 1e6) for t, _ in found], "count": [n for _, n in found]})
 
-    rows = events.withWatermark(ts, late).select(F.col(tenant).cast("string").alias("tenant"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("us"))
+    rows = events.withWatermark(ts, late).select(F.col(tenant).cast("string").alias("tenant"), F.col(ts).alias("ts"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
     out = rows.groupBy("tenant").applyInPandasWithState(step, "tenant string, us long, count long", "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
     return out.select("tenant", F.timestamp_micros("us").alias("ts"), F.lit("blocked").alias("kind"), F.lit("high").alias("severity"), "count")
