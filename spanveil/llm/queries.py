@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanveil.llm.decontaminate import contaminated
 from spanveil.llm.jaccard_join import jaccard_components
 from spanveil.llm.language_id import identify, train
+from spanveil.llm import oracles
 from spanveil.llm.line_dedup import drop_lines
 from spanveil.llm.personal_data import detect
 from spanveil.llm.quality_rules import quality
@@ -82,4 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op5_line_dedup": oracles.LINE_DEDUP,
+    "op6_jaccard_join": oracles.JACCARD_JOIN,
+}
