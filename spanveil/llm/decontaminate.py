@@ -26,6 +26,8 @@ from spanveil.session import materialise
 
 #: Template windows of the benchmark in one broadcast.
 BLOCK = 200_000
+#: How far words put in or left out may shift a passage against its item.
+DRIFT = 8
 # Units that may follow a number.
 UNITS = frozenset(
     "mm cm m km mg g kg t ml l s sec second seconds min minute minutes h hour hours day days week weeks month months year years "
@@ -160,7 +162,7 @@ class Index:
         """(item, windows found, windows of the item, longest run, verbatim) of items of which the text holds ``share``
         of the windows at places in line with each other and with consistent slots."""
         tokens, slots, _ = canonical(text)
-        found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        found: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for length in self.lengths:
             if length > len(tokens):
                 continue
@@ -171,21 +173,23 @@ class Index:
                 for j in range(int(lo[p]), int(hi[p])):
                     i, q = int(self.of[j]), int(self.at[j])
                     if min(self.width, len(self.items[i][0])) == length:
-                        found[i, p - q].append((q, p))
+                        found[i][p - q].append((q, p))
         best: dict[int, tuple[int, int, int, int, bool]] = {}
-        for (i, _), hits in found.items():
+        for i, shifts in found.items():
             its, their = self.items[i]
-            n = max(1, len(its) - self.width + 1)
-            if len(hits) < share * n:
-                continue
-            size = min(self.width, len(its))
-            covered = sorted({(q + k, p + k) for q, p in hits for k in range(size)})
-            a, b = [their[q] for q, _ in covered], [slots[p] for _, p in covered]
-            if not consistent(a, b):
-                continue
-            row = (i, len(hits), n, len(covered), a == b)
-            if i not in best or row[1] > best[i][1]:
-                best[i] = row
+            n, size = max(1, len(its) - self.width + 1), min(self.width, len(its))
+            # a word put in or left out moves the rest a little: windows within DRIFT of a shift belong to it
+            for centre in sorted(shifts, key=lambda d: (-len(shifts[d]), d)):
+                hits: dict[int, int] = {}
+                for away in sorted(range(-DRIFT, DRIFT + 1), key=abs):
+                    for q, p in shifts.get(centre + away, ()):
+                        hits.setdefault(q, p)
+                if len(hits) < share * n or (i in best and best[i][1] >= len(hits)):
+                    continue
+                covered = sorted({(q + k, p + k) for q, p in hits.items() for k in range(size)})
+                a, b = [their[q] for q, _ in covered], [slots[p] for _, p in covered]
+                if consistent(a, b):
+                    best[i] = (i, len(hits), n, len({q for q, _ in covered}), a == b)
         return sorted(best.values())
 
 

@@ -25,6 +25,15 @@ def test_reparameterised(spark, monkeypatch):
     assert contaminated(docs.limit(0), bench).collect() == [] and contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_words_put_in_or_left_out(spark):
+    item = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40))
+    words = item.split()
+    rows = [(1, " ".join(words[:20] + ["extra"] + words[20:])), (2, " ".join(words[:18] + words[20:])), (3, " ".join(words[:15])), (4, " ".join(reversed(words)))]
+    docs = spark.createDataFrame([(i, f"lead in {t} and out") for i, t in rows], "doc_id long, text string")
+    got = contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2]
+
+
 def test_every_verbatim_item_is_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
