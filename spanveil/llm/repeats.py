@@ -9,11 +9,11 @@ whose anchor occurs elsewhere can hold a repeated window. The plan:
 2. Anchors whose runs all have the same content need no closer look: every window repeats.
 3. For the rest, one copy of each distinct run content is cut out of its document and dealt by anchor; there the
    operator's own index (suffix automaton or Burrows-Wheeler transform) finds the repeated windows. A task works on
-   its anchors in batches of bounded bytes. An anchor with more than ``HOT`` distinct contents is not dealt by anchor
-   alone but by anchor and slice of window offsets, then by window content, so no task gathers it.
+   its anchors in batches of bounded bytes. An anchor with more than ``HOT`` distinct contents is not dealt by anchor:
+   those of its contents that share a core with another are dealt by window content, so no task gathers it.
 4. Spans are gathered per document and cut out of the text in one join.
 
-Text crosses the network once: both joins that need it share an exchange.
+Text crosses the network twice: once to cut contents out of it, once to cut the spans.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from spanveil.llm import batches as B
 from spanveil.session import materialise
 
 #: Distinct contents of one anchor up to which they are indexed together.
-HOT = 4_000
+HOT = 2_000
 #: Bytes of run contents that are indexed at once.
 INDEX_BYTES = 1_000_000
 
@@ -115,37 +115,43 @@ def _cut(kind: str, width: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(cols[c][some]) for c in names] + [pa.array(content, pa.binary())], names=[*names, "content"])
 
 
-def _candidates(units: Units, ah: np.ndarray, wins: np.ndarray, lead: np.ndarray, width: int) -> np.ndarray:
-    """Which contents can share a window with another of their anchor.
+def _cores(units: Units, ah: np.ndarray, wins: np.ndarray, lead: np.ndarray, width: int, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(contents, hashes) of the four cores of each content.
 
-    The windows of a content, by their offset to the anchor, fall into four classes; all windows of a class hold the same
-    core. If no core occurs twice at the same place beside the anchor, no window does.
+    The windows of a content, by their offset to the anchor (below ``reach``), fall into four classes; all windows of a class
+    hold the same core. If no core occurs twice at the same place beside the anchor, no window does.
     """
-    n = len(ah)
-    keep = np.zeros(n, dtype=bool)
-    reach = int(lead.max(initial=0)) + 1
     step = -(-reach // 4)
     for q in range(4):
         # offsets of the anchor in the windows of this class: [low, high]; a content has them from lead down to lead - wins + 1
         low, high = q * step, (q + 1) * step - 1
-        has = (lead >= low) & (lead - wins + 1 <= high)
-        # a window whose anchor is at offset o runs from lead - o: common to all offsets of the class is this range
-        core_first, core_last = units.offs[:-1] + lead - low, units.offs[:-1] + lead - high + width
-        fits = has & (core_first >= units.offs[:-1]) & (core_last <= units.offs[1:]) & (core_last > core_first)
-        keep |= has & ~fits
-        rows = np.flatnonzero(fits)
-        if not len(rows):
-            continue
-        key = B.mix(units.roll.of(core_first[rows], core_last[rows]) ^ B.mix(ah[rows].astype(np.int64).view(np.uint64)))
-        _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-        keep[rows[counts[inverse] > 1]] = True
+        rows = np.flatnonzero((lead >= low) & (lead - wins + 1 <= high))
+        # a window whose anchor is at offset o starts at lead - o: common to all offsets of the class is this range
+        first = units.offs[rows] + lead[rows] - low
+        yield rows, B.mix(units.roll.of(first, first + width + low - high) ^ B.mix(ah[rows].astype(np.int64).view(np.uint64)))
+
+
+def _candidates(units: Units, ah: np.ndarray, wins: np.ndarray, lead: np.ndarray, width: int, reach: int) -> np.ndarray:
+    """Which contents have a core in common with another of their anchor."""
+    keep = np.zeros(len(ah), dtype=bool)
+    for rows, key in _cores(units, ah, wins, lead, width, reach):
+        if len(rows):
+            _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
+            keep[rows[counts[inverse] > 1]] = True
     return keep
 
 
+def _core_rows(kind: str, width: int, reach: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, buf, offs in B.blocks(it, "content"):
+        ah, ch, wins, lead = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ah", "ch", "wins", "lead"))
+        for rows, key in _cores(Units(kind, buf, offs), ah, wins, lead, width, reach):
+            yield pa.RecordBatch.from_arrays([pa.array(B.signed(key)), pa.array(ah[rows]), pa.array(ch[rows])], names=["core", "ah", "ch"])
+
+
 Engine = Callable[[Units, int], np.ndarray]
 
 
-def _index(kind: str, width: int, engine: Engine, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _index(kind: str, width: int, reach: int, engine: Engine, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contents sorted by anchor → spans of repeated windows in the contents that occur once."""
     held: list[pa.RecordBatch] = []
 
@@ -154,7 +160,7 @@ def _index(kind: str, width: int, engine: Engine, it: Iterator[pa.RecordBatch])
         held.clear()
         ah, wins, lead, once = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("ah", "wins", "lead", "once"))
         units = Units(kind, *B.column_bytes(rows.column("content")))
-        keep = _candidates(units, ah, wins.astype(np.int64), lead.astype(np.int64), width)
+        keep = _candidates(units, ah, wins.astype(np.int64), lead.astype(np.int64), width, reach)
         if not keep.any():
             return
         rows = rows.filter(pa.array(keep))
@@ -263,7 +269,8 @@ def remove_repeats(docs: DataFrame, kind: str, width: int, k: int, engine: Engin
 
     runs = base.select("k1", "k2", "text").mapInArrow(partial(_runs, kind, width, k), _RUNS)
     anchors = runs.groupBy("ah").agg(F.count("*").alias("c"), F.min("ch").alias("lo"), F.max("ch").alias("hi")).filter("c > 1").select("ah", (F.col("lo") == F.col("hi")).alias("same"))
-    again = materialise(runs.join(anchors, "ah"), "repeats-runs")
+    # written first, so that both sides of the join are plain exchanges, of which AQE splits a hot anchor's
+    again = materialise(runs.join(materialise(anchors, "repeats-anchors"), "ah"), "repeats-runs")
 
     window = F.col("start") + F.col("wins") - 1 + width
     spans = [again.filter("same").select("k1", "k2", F.col("start").alias("s"), window.alias("e"))]
@@ -281,15 +288,18 @@ def remove_repeats(docs: DataFrame, kind: str, width: int, k: int, engine: Engin
         asked = of.groupBy("k1", "k2").agg(F.collect_list(F.struct("ah", "ch", "once", "start", "wins", "lead")).alias("asked"))
         return dealt.join(asked, ["k1", "k2"], "left").filter("asked is not null").mapInArrow(partial(_cut, kind, width), _CUT)
 
+    every = materialise(cut(rows), "repeats-cut")
     if hot.isEmpty():
-        cold = cut(rows)
+        cold = every
     else:
-        cold = cut(rows.join(hot, "ah", "left_anti"))
-        lone = materialise(cut(rows.join(hot, "ah", "left_semi")).mapInArrow(partial(_windows, kind, width), "h1 long, h2 long, k1 long, k2 long, once boolean, s int"), "repeats-windows")
+        cold, held = every.join(hot, "ah", "left_anti"), every.join(hot, "ah", "left_semi")
+        cores = held.mapInArrow(partial(_core_rows, kind, width, width - k + 1), "core long, ah long, ch long")
+        shared = cores.join(cores.groupBy("core").agg(F.count("*").alias("c")).filter("c > 1").select("core"), "core").select("ah", "ch").distinct()
+        lone = held.join(shared, ["ah", "ch"], "left_semi").mapInArrow(partial(_windows, kind, width), "h1 long, h2 long, k1 long, k2 long, once boolean, s int")
         # A window that occurs twice: as counts by content, combined before the exchange; its places come back by a join, which AQE can split.
         twice = lone.groupBy("h1", "h2").agg(F.count("*").alias("c")).filter("c > 1").select("h1", "h2")
         spans.append(lone.join(twice, ["h1", "h2"]).filter("once").select("k1", "k2", "s", (F.col("s") + width).alias("e")))
-    spans.append(cold.repartition(parts, "ah").sortWithinPartitions("ah").mapInArrow(partial(_index, kind, width, engine), _SPANS))
+    spans.append(cold.repartition(parts, "ah").sortWithinPartitions("ah").mapInArrow(partial(_index, kind, width, width - k + 1, engine), _SPANS))
 
     found = spans[0]
     for more in spans[1:]:

@@ -101,5 +101,5 @@ def substring_dedup(docs: DataFrame, width: int = 35, id_col: str = "doc_id", te
     repeated rows are documents of their own and so repeat each other; a null id is carried along; other columns are
     not read, so their names cannot clash. An empty table gives an empty table.
     """
-    out = remove_repeats(docs, "words", width, max(1, width * 2 // 7), matching_statistics, id_col, text_col, keep_text)
+    out = remove_repeats(docs, "words", width, max(1, width * 2 // 5), matching_statistics, id_col, text_col, keep_text)
     return out.withColumnsRenamed({"id": id_col, "n": "n_words"})
