@@ -1,8 +1,8 @@
 """Op 6: similarity join on word shingles by vertical partitioning.
 
 Shingles have one global order, rarest first; rarity is read from a sketch of fixed size (document counts by hash bucket), so
-the order is the same everywhere and very common shingles come last. Two sets that link share a shingle among the first
-of each (the prefix). Then:
+the order is the same everywhere and very common shingles come last. Two sets that link share up to eight shingles among
+the first of each (the prefix); a node that shares fewer with all others together is out. Then:
 
 1. Documents with equal sets are one node, so copies never meet each other.
 2. Each prefix shingle held by two nodes or more names its smallest node as leader; a node joins the cluster of the leader
@@ -82,10 +82,18 @@ def _survey(size: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([none(n, kind), *(none(n, pa.int64()) for _ in range(4)), pa.array(held.astype(np.int32)), pa.array(sketch[held])], names=names)
 
 
+def least_common(n):
+    """How many shingles two linked sets have in common among the first that each shows, the smaller having n."""
+    return min(8, max(1, n // 20))
+
+
 def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
-    """How many first shingles a set of n has to show to longer sets (or equally long ones), and to any."""
-    longer = n - -(-2 * percent * n // (100 + percent)) + 1
-    return longer, n - -(-percent * n // 100) + 1
+    """How many first shingles a set of n has to show to longer sets (or equally long ones), and to any.
+
+    With an overlap of o or more, sets of n and m have k in common among their first n - o + k and m - o + k.
+    """
+    more = least_common(n)
+    return min(n, n - -(-2 * percent * n // (100 + percent)) + more), min(n, n - -(-percent * n // 100) + more)
 
 
 def _prefixes(size: int, percent: int, held, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,12 +119,12 @@ def _prefixes(size: int, percent: int, held, it: Iterator[pa.RecordBatch]) -> It
             yield pa.RecordBatch.from_arrays([pa.array(B.signed(np.concatenate(tokens))), pa.array(np.concatenate(sids)), pa.array(np.concatenate(tags).astype(np.int32))], names=["token", "sid", "tag"])
 
 
-def _sets(size: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(size: int, carried: list[str], it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, buf, offs in B.blocks(it, "text"):
         sets = shingle_sets(buf, offs, size)
         for i in range(0, len(sets), 200):
             some = sets[i : i + 200]
-            yield pa.RecordBatch.from_arrays([part.column("sid").slice(i, len(some)), pa.array([s.tobytes() for s in some], pa.binary())], names=["sid", "items"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c).slice(i, len(some)) for c in carried), pa.array([s.tobytes() for s in some], pa.binary())], names=[*carried, "items"])
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -166,6 +174,7 @@ def _forest(link: np.ndarray) -> np.ndarray:
 def _clusters(percent: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (lead, one, two) → edges of a spanning forest of each block pair."""
     held: list[tuple] = []
+    met: set[int] = set()
     key = None
 
     def decide() -> tuple[list[int], list[int]]:
@@ -191,8 +200,10 @@ def _clusters(percent: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
                 a, b = decide()
                 left += a
                 right += b
-                held, key = [], (lead, one, two)
-            held.append((sid, block, items))
+                held, met, key = [], set(), (lead, one, two)
+            if sid not in met:
+                met.add(sid)
+                held.append((sid, block, items))
         yield edges(left, right)
     yield edges(*decide())
 
@@ -238,6 +249,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     prefixes = base.select("text").mapInArrow(partial(_prefixes, size, percent, held), "token long, sid long, tag int")
     leads = prefixes.groupBy("token").agg(F.min("sid").alias("lead"), F.max("sid").alias("hi")).filter("lead <> hi").select("token", "lead")
     members = materialise(prefixes.join(materialise(leads, "jaccard-leads"), "token").distinct(), "jaccard-members")
+    size_of = F.floor(F.col("tag") / 2)
+    common = lambda n: F.least(F.lit(8), F.greatest(F.lit(1), F.floor(n / 20)))  # noqa: E731  as least_common
+    for _ in range(2):
+        # a node that shares too few shingles with all others together can't link; without it, others may share fewer
+        able = members.groupBy("sid").agg(F.count("*").alias("c"), F.max(size_of).alias("n")).filter(F.col("c") >= common(F.floor(F.col("n") * percent / 100))).select("sid")
+        members = members.join(materialise(able, "jaccard-able"), "sid")
+        shared = members.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("token", F.col("lo").alias("lead"))
+        members = materialise(members.drop("lead").join(materialise(shared, "jaccard-shared"), "token"), "jaccard-members")
 
     votes = members.groupBy("sid", "lead").agg(F.count("*").alias("votes"))
     home = materialise(votes.groupBy("sid").agg(F.max(F.struct("votes", (-F.col("lead")).alias("to"))).alias("best")).select("sid", (-F.col("best.to")).alias("lead")), "jaccard-home")
@@ -251,17 +270,20 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     other = homed.select("token", *(F.col(c).alias(f"{c}_") for c in ("sid", "cluster", "n", "short")))
     close = (100 * F.col("n") >= percent * F.col("n_")) & (F.col("short") & ((F.col("n") < F.col("n_")) | ((F.col("n") == F.col("n_")) & (F.col("sid") < F.col("sid_")))))
     pairs = homed.join(other, "token").filter((F.col("cluster") != F.col("cluster_")) & (F.col("n") <= F.col("n_")) & close)
-    pairs = materialise(pairs.select(F.col("sid").alias("a"), F.col("sid_").alias("b")).distinct(), "jaccard-pairs")
-
-    wanted = home.join(sizes, "lead").select("sid").unionByName(pairs.select(F.col("a").alias("sid"))).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = materialise(nodes.join(wanted, "sid").select("k1", "sid"), "jaccard-wanted")
-    sets = materialise(base.select("k1", "text").join(wanted, "k1").dropDuplicates(["sid"]).mapInArrow(partial(_sets, size), "sid long, items binary"), "jaccard-sets")
-
-    blocked = home.join(sizes, "lead").select("lead", "sid", "blocks", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"))
-    blocked = blocked.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocked = blocked.select("lead", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "sid", "block")
-    inside = blocked.join(sets, "sid").repartition(parts, "lead", "one", "two").sortWithinPartitions("lead", "one", "two").select("lead", "one", "two", "sid", "block", "items")
-    inside = inside.mapInArrow(partial(_clusters, percent), "a long, b long")
+    pairs = pairs.groupBy(F.col("sid").alias("a"), F.col("sid_").alias("b")).agg(F.count("*").alias("c"), F.max("n").alias("n")).filter(F.col("c") >= common(F.col("n")))
+    pairs = materialise(pairs.select("a", "b"), "jaccard-pairs")
+
+    # Sets are made where they are needed, from one exchange of the text that both uses share; rows that repeat a node are
+    # passed over by whoever reads them.
+    dealt = base.select("k1", "text").repartition(parts, "k1")
+    blocked = materialise(nodes.join(home, "sid").join(sizes, "lead").select("k1", "sid", "lead", "blocks", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block")), "jaccard-blocked")
+    inside = dealt.join(blocked, "k1").mapInArrow(partial(_sets, size, ["sid", "lead", "blocks", "block"]), "sid long, lead long, blocks int, block int, items binary")
+    inside = inside.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    inside = inside.select("lead", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "sid", "block", "items")
+    inside = inside.repartition(parts, "lead", "one", "two").sortWithinPartitions("lead", "one", "two").mapInArrow(partial(_clusters, percent), "a long, b long")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    ends = materialise(nodes.join(ends, "sid").select("k1", "sid"), "jaccard-ends")
+    sets = materialise(dealt.join(ends, "k1").mapInArrow(partial(_sets, size, ["sid"]), "sid long, items binary").groupBy("sid").agg(F.any_value("items").alias("items")), "jaccard-sets")
     across = pairs.join(sets.select(F.col("sid").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("items").alias("y")), "b")
     across = across.select("a", "b", "x", "y").mapInArrow(partial(_pairs, percent), "a long, b long")
     # rows that share an id are one node
