@@ -24,7 +24,9 @@ from spanveil.llm import batches as B
 
 MARK = "▁"
 #: Characters of new segments that are indexed at once, and of segments that a worker remembers.
-INDEX_CHARS, MEMORY_CHARS = 400_000, 6_000_000
+INDEX_CHARS, MEMORY_CHARS = 700_000, 6_000_000
+#: Bytes of text that are encoded at once: the search for all pieces is paid once for as much.
+GROUP = 8_000_000
 _GAP = 0x10FFFF  # between segments; not a character of any text
 
 
@@ -178,7 +180,7 @@ class Codec:
         firsts = np.append(0, bounds[:-1] + 1)
         begins = set(firsts.tolist())
         fits = self.fits
-        for s, e, p in zip(start[by].tolist(), end[by].tolist(), piece[by].tolist(), strict=True):
+        for s, e, p in (edge for i in range(0, len(by), 100_000) for edge in zip(*(x[by[i : i + 100_000]].tolist() for x in (start, end, piece)), strict=True)):
             if reached[e] is not None:
                 continue
             if s not in begins:
@@ -247,10 +249,17 @@ class Codec:
             self.sizes.append(len(ids))
             self.used += len(ids)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, the n + 1 offsets of each text's)."""
+    def learn(self, texts: pa.Array) -> None:
+        """Meets all segments of the texts, so that encoding them has none to add."""
         if self.used > MEMORY_CHARS:
             self._forget()
+        new: set[str] = set()
+        for t in texts:
+            new.update(self.segment.findall(MARK + t.as_py().replace(" ", MARK)) if len(t.as_py()) else ())
+        self._learn([s for s in new if s not in self.rows])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, the n + 1 offsets of each text's)."""
         parts = [self.segment.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         new = list({s for p in parts for s in p if s not in self.rows})
         if new:
@@ -284,15 +293,31 @@ def _codec(held) -> Codec:
     return _CODECS[1]
 
 
+def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of about GROUP bytes of text (a longer document is one by itself)."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for part, buf, _ in B.blocks(it, "text"):
+        held.append(part)
+        size += len(buf)
+        if size >= GROUP:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _encode(held, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codec = _codec(held)
-    for part, _, _ in B.blocks(it, "text"):
-        texts = part.column("text").to_pylist()
-        ids, offs = codec.encode(texts)
-        back = codec.decode(ids, offs)
-        same = [b == t.replace(MARK, " ") for b, t in zip(back, texts, strict=True)]
-        lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids))
-        yield pa.RecordBatch.from_arrays([part.column("id"), lists, pa.array(np.diff(offs)), pa.array(same, pa.bool_())], names=["id", "ids", "n_ids", "round_trip"])
+    for group in _groups(it):
+        codec.learn(group.column("text"))
+        for part, _, _ in B.blocks(iter([group]), "text"):
+            texts = part.column("text").to_pylist()
+            ids, offs = codec.encode(texts)
+            back = codec.decode(ids, offs)
+            same = [b == t.replace(MARK, " ") for b, t in zip(back, texts, strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([part.column("id"), lists, pa.array(np.diff(offs)), pa.array(same, pa.bool_())], names=["id", "ids", "n_ids", "round_trip"])
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
