@@ -258,9 +258,22 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
         shared = members.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("token", F.col("lo").alias("lead"))
         members = materialise(members.drop("lead").join(materialise(shared, "jaccard-shared"), "token"), "jaccard-members")
 
-    votes = members.groupBy("sid", "lead").agg(F.count("*").alias("votes"))
-    home = materialise(votes.groupBy("sid").agg(F.max(F.struct("votes", (-F.col("lead")).alias("to"))).alias("best")).select("sid", (-F.col("best.to")).alias("lead")), "jaccard-home")
-    sizes = home.groupBy("lead").agg(F.count("*").alias("size")).filter("size > 1")
+    def homes(leading: DataFrame) -> DataFrame:
+        votes = leading.groupBy("sid", "lead").agg(F.count("*").alias("votes"))
+        return materialise(votes.groupBy("sid").agg(F.max(F.struct("votes", (-F.col("lead")).alias("to"))).alias("best")).select("sid", (-F.col("best.to")).alias("lead")), "jaccard-home")
+
+    home = homes(members)
+    for _ in range(2):
+        # clusters that share many shingles become one: now the smallest cluster among a shingle's nodes leads
+        moved = members.drop("lead").join(home, "sid")
+        least = materialise(moved.groupBy("token").agg(F.min("lead").alias("lead")), "jaccard-least")
+        home = homes(members.drop("lead").join(least, "token"))
+    # only a node that shares enough shingles with nodes of its own cluster can link there
+    own = members.select("token", "sid", "tag").join(home, "sid")
+    pairable = materialise(own.groupBy("token", "lead").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("token", "lead"), "jaccard-pairable")
+    inner = own.join(pairable, ["token", "lead"]).groupBy("sid").agg(F.count("*").alias("c"), F.max(size_of).alias("n"), F.first("lead").alias("lead"))
+    inner = materialise(inner.filter(F.col("c") >= common(F.floor(F.col("n") * percent / 100))).select("sid", "lead"), "jaccard-inner")
+    sizes = inner.groupBy("lead").agg(F.count("*").alias("size")).filter("size > 1")
     sizes = materialise(sizes.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "jaccard-sizes")
 
     # pairs across clusters; a pair is led by the prefix of its shorter set
@@ -276,7 +289,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     # Sets are made where they are needed, from one exchange of the text that both uses share; rows that repeat a node are
     # passed over by whoever reads them.
     dealt = base.select("k1", "text").repartition(parts, "k1")
-    blocked = materialise(nodes.join(home, "sid").join(sizes, "lead").select("k1", "sid", "lead", "blocks", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block")), "jaccard-blocked")
+    blocked = materialise(nodes.join(inner, "sid").join(sizes, "lead").select("k1", "sid", "lead", "blocks", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block")), "jaccard-blocked")
     inside = dealt.join(blocked, "k1").mapInArrow(partial(_sets, size, ["sid", "lead", "blocks", "block"]), "sid long, lead long, blocks int, block int, items binary")
     inside = inside.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     inside = inside.select("lead", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "sid", "block", "items")
