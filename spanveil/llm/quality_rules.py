@@ -1,19 +1,21 @@
 """Op 9: quality rules with perplexity bands of a modified Kneser-Ney model.
 
-The model is one of byte 5-grams per language: Spark counts every 5-gram of every text (each task sends its own sums), derives
-the continuation counts of the lower orders, the three discounts of each order and the interpolated probability of each
-5-gram seen. It is kept as sorted hash arrays: the hash of (language, 5-gram), cut to ``HASH_BITS`` bits, and its log
-probability. So it has at most 2**HASH_BITS entries however large the corpus, and that bound makes it fit for a broadcast.
-n-grams that share a hash share a probability, weighted by their counts.
-
-A document is scored by its mean log probability per byte. Per language, a band around the quartiles over the distinct
-texts that pass the base rules is kept; documents above (noise) or below (mechanical repetition) are rejected.
+The model is one of byte 5-grams per language, fitted on the distinct texts that pass the base rules: Spark counts their
+5-grams (each task sends its own sums), derives the continuation counts of the lower orders, the three discounts of each
+order and the interpolated probability of each 5-gram. 5-grams that only other texts hold are counted as 0 and have the
+probability that the lower orders give. The whole model is kept as sorted hash arrays: the 64-bit hash of (language,
+5-gram), which is one to one, and its log probabilities. They are cut by ranges of the hash into blocks of about
+``BLOCK_KEYS`` entries; each is a broadcast, and the texts are read once for each block.
+
+A document is scored by its mean log probability per byte; a text that the model has read leaves one occurrence of each of
+its 5-grams out. Per language, a band around the quartiles over the texts of the model is kept; documents above (noise) or
+below (mechanical repetition) are rejected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,10 @@ from spanveil.llm import batches as B
 from spanveil.session import materialise
 
 ORDER = 5
-HASH_BITS = 24
+#: Entries of the model in one broadcast, on average.
+BLOCK_KEYS = 1 << 22
+#: Texts that a task remembers as sent; copies that it has forgotten go when all tasks' texts are put in order.
+_REMEMBERED = 500_000
 SYMBOLS = b"#*$%&|<>"
 _IS_SYMBOL = np.zeros(256, dtype=bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
@@ -59,20 +64,49 @@ def _merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return keys[heads], np.add.reduceat(counts, heads) if len(heads) else counts
 
 
+def _fitted(base: dict[str, np.ndarray], min_words: int, max_repeat_percent: int) -> np.ndarray:
+    """Whether the model is fitted on each document of a block, from its base counts."""
+    return ~base_failed(base["n_words"], base["n_repeat_words"], min_words, max_repeat_percent)
+
+
+def _send_once(passes, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text of a task once, with ``fitted``: copies are not shuffled, so a text with many makes no hot task."""
+    sent: set[tuple[int, int, int]] = set()
+    for part, buf, offs in B.blocks(it, "text"):
+        new = np.zeros(part.num_rows, dtype=bool)
+        for i, key in enumerate(zip(*(part.column(c).to_pylist() for c in ("code", "h1", "h2")))):
+            if key not in sent:
+                new[i] = True
+                sent.add(key)
+        if len(sent) > _REMEMBERED:
+            sent.clear()
+        fitted = passes(base_features(buf, offs))
+        yield part.append_column("fitted", pa.array(fitted)).filter(pa.array(new))
+
+
 def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n) of texts in the order of their hashes, each once; n is 0 for texts that the model isn't fitted on."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     waiting = 0
+    last = None
 
     def send(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(keys), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(B.signed(keys[i : i + 100_000])), pa.array(counts[i : i + 100_000])], names=["key", "n"])
 
     for part, buf, offs in B.blocks(it, "text"):
-        _, keys = _grams(buf, offs, part.column("code").to_numpy(zero_copy_only=False))
-        keys.sort()
-        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        held.append((keys[heads], np.diff(np.append(heads, len(keys)))))
-        waiting += len(heads)
+        code = part.column("code").to_numpy(zero_copy_only=False)
+        fitted = part.column("fitted").to_numpy(zero_copy_only=False)
+        new = np.zeros(part.num_rows, dtype=bool)
+        for i, key in enumerate(zip(*(part.column(c).to_pylist() for c in ("code", "h1", "h2")))):
+            new[i] = key != last
+            last = key
+        of, keys = _grams(buf, offs, code)
+        for some, times in ((new & fitted, 1), (new & ~fitted, 0)):
+            mine = np.sort(keys[some[of]])
+            heads = np.flatnonzero(np.append(True, mine[1:] != mine[:-1])) if len(mine) else np.zeros(0, np.int64)
+            held.append((mine[heads], np.diff(np.append(heads, len(mine))) * times))
+            waiting += len(heads)
         if waiting > 3_000_000:
             held = [_merge(held)]
             waiting = len(held[0][0])
@@ -89,12 +123,13 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
 
     ``counts`` has (key, n), the key being language code and bytes as in ``_grams``. Orders below the highest use the number
     of distinct bytes before an n-gram in place of its count; the lowest is interpolated with a uniform one over 256 bytes.
+    A 5-gram with n = 0 adds nothing to any count and gets the probability of one not seen; its logp_left means nothing.
     """
     lang = lambda c, order: F.shiftright(c, 8 * order)
     types = {ORDER: counts.select("key", F.col("n").alias("a"))}
     for order in range(ORDER - 1, 0, -1):
         suffix = (F.shiftright("key", 8 * (order + 1)) * F.lit(1 << (8 * order)) + F.col("key").bitwiseAND(F.lit((1 << (8 * order)) - 1))).alias("key")
-        types[order] = types[order + 1].select(suffix).groupBy("key").agg(F.count("*").alias("a"))
+        types[order] = types[order + 1].select(suffix, "a").groupBy("key").agg(F.count_if(F.col("a") > 0).alias("a"))
     lower = None
     for order in range(1, ORDER + 1):
         t = types[order].withColumn("lang", lang(F.col("key"), order)).withColumn("ctx", F.shiftright("key", 8))
@@ -110,9 +145,9 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         c = c.join(F.broadcast(d), F.col("lang") == F.col("dl")).drop("dl", "lang")
         cut = lambda a: F.when(a == 1, F.col("d1")).when(a == 2, F.col("d2")).otherwise(F.col("d3"))
         one, less = F.col("a") - 1, F.col("total") - 1
-        own = F.greatest(F.col("a") - cut(F.col("a")), F.lit(0.0)) / F.col("total")
+        own = F.when(F.col("a") > 0, F.greatest(F.col("a") - cut(F.col("a")), F.lit(0.0)) / F.col("total")).otherwise(F.lit(0.0))
         mass = F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")
-        rest = mass / F.col("total")
+        rest = F.when(F.col("total") > 0, mass / F.col("total")).otherwise(F.lit(1.0))
         own_left = F.when(one > 0, F.greatest(one - cut(one), F.lit(0.0)) / less).otherwise(F.lit(0.0))
         rest_left = F.when(less > 0, F.least(mass / less, F.lit(1.0))).otherwise(F.lit(1.0))
         columns = [F.col("a"), own.alias("own"), rest.alias("rest"), own_left.alias("own_left"), rest_left.alias("rest_left")]
@@ -129,26 +164,36 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     return p.select("key", F.col("a").alias("n"), F.log("p").alias("logp"), F.log("p_left").alias("logp_left"))
 
 
-def sorted_hash_arrays(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The model as (hashes in order, log probabilities), at most 2**HASH_BITS of each."""
-    slot = F.shiftrightunsigned(F.xxhash64("key"), 64 - HASH_BITS).cast("int").alias("slot")
-    rows = model.select(slot, "n", "logp_left").groupBy("slot").agg((F.sum(F.col("n") * F.col("logp_left")) / F.sum("n")).cast("float").alias("logp")).toArrow()
-    hashes, logp = rows.column("slot").to_numpy(), rows.column("logp").to_numpy()
+def sorted_hash_arrays(model: DataFrame, bits: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The part of the model whose hashes begin with the ``bits`` bits of ``block``: (hashes in order, logp, logp_left)."""
+    h = F.xxhash64("key")
+    mine = model.filter(F.shiftrightunsigned(h, 64 - bits) == block) if bits else model
+    rows = mine.select(h.alias("h"), F.col("logp").cast("float"), F.col("logp_left").cast("float")).toArrow()
+    hashes = rows.column("h").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    return hashes[order].astype(np.uint32), logp[order]
+    return hashes[order], rows.column("logp").to_numpy()[order], rows.column("logp_left").to_numpy()[order]
 
 
 _LAID_OUT: list = []
 
 
-def _direct(held) -> np.ndarray:
-    """The sorted arrays laid out by hash, once for each model in a Python worker."""
+def _places(held, bits: int, h: np.ndarray) -> np.ndarray:
+    """The places of hashes that are all in a block of the model; its index is made once in a Python worker."""
     model = held.value
+    hashes = model[0]
+    # all hashes of a block begin with the same bits; those after them tell them apart
+    lead = lambda x, n: (x << np.uint64(bits)) >> np.uint64(64 - n)
     if not _LAID_OUT or _LAID_OUT[0] is not model:
-        table = np.zeros(1 << HASH_BITS, np.float32)
-        table[model[0]] = model[1]
-        _LAID_OUT[:] = [model, table]
-    return _LAID_OUT[1]
+        n = len(hashes).bit_length() + 1
+        _LAID_OUT[:] = [model, np.searchsorted(lead(hashes, n), np.arange(1 << n, dtype=np.uint64)).astype(np.int32), n]
+    at = _LAID_OUT[1][lead(h, _LAID_OUT[2])].astype(np.int64)
+    left = np.flatnonzero(hashes[np.minimum(at, len(hashes) - 1)] != h)
+    while len(left):
+        at[left] += 1
+        if at[left].max() >= len(hashes):
+            raise ValueError("a text holds a 5-gram that was not counted: the rows changed between two readings")
+        left = left[hashes[at[left]] != h[left]]
+    return at
 
 
 _P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
@@ -203,17 +248,31 @@ def base_features(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 _FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
-def _score(held, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = _direct(held)
+def base_failed(n_words, n_repeat_words, min_words: int, max_repeat_percent: int):
+    """The verdict of the base rules, on arrays or columns."""
+    return (n_words < min_words) | (100 * n_repeat_words > max_repeat_percent * n_words)
+
+
+def _score(held, bits: int, block: int, passes, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of log probabilities that a block of the model gives each document; the first also has the base counts."""
     for part, buf, offs in B.blocks(it, "text"):
         of, keys = _grams(buf, offs, part.column("code").to_numpy(zero_copy_only=False))
-        logp = table[(xxhash64_of_longs(keys) >> np.uint64(64 - HASH_BITS)).astype(np.int64)]
-        total = np.bincount(of, weights=logp, minlength=part.num_rows)
         n = np.bincount(of, minlength=part.num_rows)
-        entropy = np.where(n > 0, -total / np.maximum(n, 1), 0.0)
         base = base_features(buf, offs)
+        fitted = passes(base)
+        h = xxhash64_of_longs(keys)
+        if bits:
+            mine = (h >> np.uint64(64 - bits)) == np.uint64(block)
+            of, h = of[mine], h[mine]
+        total = np.zeros(part.num_rows)
+        if len(h):
+            at = _places(held, bits, h)
+            total = np.bincount(of, weights=np.where(fitted[of], held.value[2][at], held.value[1][at]), minlength=part.num_rows)
+        if block:
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("k1", "k2", "code")), pa.array(total)], names=["k1", "k2", "code", "total"])
+            continue
         cols = [part.column(c) for c in ("id", "k1", "k2", "code")] + [pa.array(x.astype(np.int64)) for x in base.values()]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(entropy), pa.array(n.astype(np.int64))], names=["id", "k1", "k2", "code", *base, "entropy", "n_grams"])
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(fitted), pa.array(total), pa.array(n.astype(np.int64))], names=["id", "k1", "k2", "code", *base, "fitted", "total", "n_grams"])
 
 
 def quality(docs: DataFrame, reach: float = 4.0, slack: float = 0.8, min_words: int = 50, max_repeat_percent: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -229,15 +288,34 @@ def quality(docs: DataFrame, reach: float = 4.0, slack: float = 0.8, min_words:
     B.tune(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), text.alias("text"), language_code(F.col(lang_col)).alias("code"))
-    counts = base.select("code", "text").mapInArrow(_count, _COUNTS).groupBy("key").agg(F.sum("n").alias("n"))
-    held = spark.sparkContext.broadcast(sorted_hash_arrays(kneser_ney(materialise(counts, "quality-counts"))))
+    passes = partial(_fitted, min_words=min_words, max_repeat_percent=max_repeat_percent)
+    texts = base.filter("text <> ''").select("code", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"), "text")
+    texts = texts.mapInArrow(partial(_send_once, passes), "code int, h1 long, h2 long, text string, fitted boolean")
+    texts = texts.repartition("h1", "h2", "code").sortWithinPartitions("h1", "h2", "code")
+    counts = materialise(texts.mapInArrow(_count, _COUNTS).groupBy("key").agg(F.sum("n").alias("n")), "quality-counts")
+    model = materialise(kneser_ney(counts).select("key", "logp", "logp_left"), "quality-model")
+    bits = max(0, -(-model.count() // BLOCK_KEYS) - 1).bit_length()
     keyed = base.select("id", F.xxhash64("id", "text").alias("k1"), F.xxhash64("text", "id", F.lit(7)).alias("k2"), "code", "text")
     kind = base.schema["id"].dataType.simpleString()
-    scored = materialise(keyed.mapInArrow(partial(_score, held), f"id {kind}, k1 long, k2 long, code int, {_FEATURES}, entropy double, n_grams long"), "quality-scores")
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    scored = scored.withColumn("base_failed", failed)
+    more_totals = []
+    for block in range(1 << bits):
+        held = spark.sparkContext.broadcast(sorted_hash_arrays(model, bits, block))
+        score = partial(_score, held, bits, block, passes)
+        if block:
+            part = keyed.select("k1", "k2", "code", "text").mapInArrow(score, "k1 long, k2 long, code int, total double")
+            # repeated rows have equal sums
+            part = part.groupBy("k1", "k2", "code").agg(F.max("total").alias("more_total"))
+            more_totals.append(materialise(part, "quality-part"))
+        else:
+            scored = materialise(keyed.mapInArrow(score, f"id {kind}, k1 long, k2 long, code int, {_FEATURES}, fitted boolean, total double, n_grams long"), "quality-scores")
+        held.unpersist()
+    if more_totals:
+        rest = reduce(DataFrame.unionAll, more_totals).groupBy("k1", "k2", "code").agg(F.sum("more_total").alias("more_total"))
+        scored = materialise(scored.join(rest, ["k1", "k2", "code"]).withColumn("total", F.col("total") + F.col("more_total")).drop("more_total"), "quality-sums")
+    scored = scored.withColumn("entropy", F.when(F.col("n_grams") > 0, -F.col("total") / F.col("n_grams")).otherwise(F.lit(0.0))).drop("total")
+    scored = scored.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"), min_words, max_repeat_percent))
     # equal texts of a language have equal figures, whatever else they hold: copies count once
-    once = scored.filter("not base_failed").groupBy("code", "n_grams", "entropy").agg(F.count("*").alias("c"))
+    once = scored.filter("fitted").groupBy("code", "n_grams", "entropy").agg(F.count("*").alias("c"))
     bands = once.groupBy("code").agg(F.percentile_approx("entropy", [0.25, 0.75], 1000).alias("q"))
     wide = reach * (F.col("q")[1] - F.col("q")[0]) + slack
     bands = bands.select(F.col("code").alias("bc"), (F.col("q")[0] - wide).alias("low"), (F.col("q")[1] + wide).alias("high"))
@@ -246,7 +324,7 @@ def quality(docs: DataFrame, reach: float = 4.0, slack: float = 0.8, min_words:
     more = F.lit(3.0) / F.sqrt(F.greatest("n_grams", F.lit(1)))
     inside = (F.col("entropy") >= F.col("low") - more) & (F.col("entropy") <= F.col("high") + more)
     out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).withColumn("perplexity", F.exp("entropy"))
-    return out.drop("bc", "n_grams", "code").withColumnRenamed("id", id_col)
+    return out.drop("bc", "n_grams", "code", "fitted").withColumnRenamed("id", id_col)
 
 
 def reject(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **limits) -> DataFrame:

@@ -82,3 +82,33 @@ def test_kneser_ney_against_the_definition(spark):
     got = {(r.key & (1 << 40) - 1).to_bytes(5): r.logp for r in kneser_ney(df).collect()}
     assert len(got) == len(counts[5])
     assert all(abs(got[g] - math.log(p(g))) < 1e-9 for g in got)
+
+
+def _letters(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(n))
+
+
+def _prose(rng, n):
+    return " ".join(rng.choice(["time", "river", "stone", "green", "walks", "under", "the", "a"]) for _ in range(n))
+
+
+def test_copies_count_once(spark):
+    rng = random.Random(4)
+    clean = [(i, _prose(rng, 120), "en") for i in range(60)]
+    noise = (99, _letters(rng, 120), "en")
+    schema = "doc_id long, text string, lang string"
+    run = lambda rows: {r.doc_id: r for r in quality(spark.createDataFrame(rows, schema), min_words=20, max_repeat_percent=100).collect()}
+    once = run([*clean, noise])
+    often = run([*clean, noise, *((1000 + i, noise[1], "en") for i in range(40)), *((2000 + i, clean[0][1], "en") for i in range(40))])
+    for i, r in once.items():
+        assert abs(r.entropy - often[i].entropy) < 1e-6 and r.kept == often[i].kept, i
+    assert not any(often[i].kept for i in (99, *range(1000, 1040))) and all(often[i].kept for i in (0, *range(2000, 2040)))
+
+
+def test_whole_model_in_blocks(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    docs = docs.unionByName(docs.limit(5))
+    rows = lambda: sorted((r.doc_id, r.n_words, r.kept, round(r.entropy, 6)) for r in quality(docs).collect())
+    whole = rows()
+    monkeypatch.setattr("spanveil.llm.quality_rules.BLOCK_KEYS", 9_000)
+    assert rows() == whole and len(whole) == docs.count()
