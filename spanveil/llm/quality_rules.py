@@ -1,11 +1,12 @@
 """Op 9: quality rules with perplexity bands of a modified Kneser-Ney model.
 
-The model is one of byte 5-grams per language, fitted on the distinct texts that pass the base rules: Spark counts their
-5-grams (each task sends its own sums), derives the continuation counts of the lower orders, the three discounts of each
-order and the interpolated probability of each 5-gram. 5-grams that only other texts hold are counted as 0 and have the
-probability that the lower orders give. The whole model is kept as sorted hash arrays: the 64-bit hash of (language,
-5-gram), which is one to one, and its log probabilities. They are cut by ranges of the hash into blocks of about
-``BLOCK_KEYS`` entries; each is a broadcast, and the texts are read once for each block.
+The model is one of byte 5-grams per language, fitted on the distinct texts that pass the base rules and hold at most
+``SYMBOLS_PER_100`` symbols to 100 words, as a model that has read symbol junk finds it usual. Spark counts their 5-grams
+(each task sends its own sums), derives the continuation counts of the lower orders, the three discounts of each order and
+the interpolated probability of each 5-gram. 5-grams that only other texts hold are counted as 0 and have the probability
+that the lower orders give. The whole model is kept as sorted hash arrays: the 64-bit hash of (language, 5-gram), which is
+one to one, and its log probabilities. They are cut by ranges of the hash into blocks of about ``BLOCK_KEYS`` entries; each
+is a broadcast, and the texts are read once for each block.
 
 A document is scored by its mean log probability per byte; a text that the model has read leaves one occurrence of each of
 its 5-grams out. Per language, a band around the quartiles over the texts of the model is kept; documents above (noise) or
@@ -26,6 +27,8 @@ from spanveil.llm import batches as B
 from spanveil.session import materialise
 
 ORDER = 5
+#: More symbols than this to 100 words keep a text out of the model (not out of the result, which its perplexity decides).
+SYMBOLS_PER_100 = 10
 #: Entries of the model in one broadcast, on average.
 BLOCK_KEYS = 1 << 22
 #: Texts that a task remembers as sent; copies that it has forgotten go when all tasks' texts are put in order.
@@ -66,7 +69,8 @@ def _merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 
 def _fitted(base: dict[str, np.ndarray], min_words: int, max_repeat_percent: int) -> np.ndarray:
     """Whether the model is fitted on each document of a block, from its base counts."""
-    return ~base_failed(base["n_words"], base["n_repeat_words"], min_words, max_repeat_percent)
+    usual = 100 * base["n_symbols"] <= SYMBOLS_PER_100 * base["n_words"]
+    return usual & ~base_failed(base["n_words"], base["n_repeat_words"], min_words, max_repeat_percent)
 
 
 def _send_once(passes, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,12 +279,12 @@ def _score(held, bits: int, block: int, passes, it: Iterator[pa.RecordBatch]) ->
         yield pa.RecordBatch.from_arrays([*cols, pa.array(fitted), pa.array(total), pa.array(n.astype(np.int64))], names=["id", "k1", "k2", "code", *base, "fitted", "total", "n_grams"])
 
 
-def quality(docs: DataFrame, reach: float = 4.0, slack: float = 0.8, min_words: int = 50, max_repeat_percent: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def quality(docs: DataFrame, reach: float = 4.0, min_words: int = 50, max_repeat_percent: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Base counts, base_failed, entropy (nats a byte), perplexity and kept for every row; also k1, k2, hashes of (id, text).
 
     A language's band of entropies runs from its lower quartile to its upper, each moved outward by ``reach`` times the
-    distance between them plus ``slack``; shorter documents, whose mean varies more, get 3 / sqrt(n) more. Null and empty
-    texts have no words and fail the base rules. A null or odd language has the band of code 0, as every language has its
+    distance between them; shorter documents, whose mean varies more, get 3 / sqrt(n) more. A language none of whose
+    texts the model is fitted on has no band, and what passes its base rules is kept. Null and empty texts have no words and fail the base rules. A null or odd language has the band of code 0, as every language has its
     own. Repeated rows get equal results and count once in the quartiles. Null ids are carried along; other columns are
     not read. An empty table gives an empty table.
     """
@@ -317,7 +321,7 @@ def quality(docs: DataFrame, reach: float = 4.0, slack: float = 0.8, min_words:
     # equal texts of a language have equal figures, whatever else they hold: copies count once
     once = scored.filter("fitted").groupBy("code", "n_grams", "entropy").agg(F.count("*").alias("c"))
     bands = once.groupBy("code").agg(F.percentile_approx("entropy", [0.25, 0.75], 1000).alias("q"))
-    wide = reach * (F.col("q")[1] - F.col("q")[0]) + slack
+    wide = reach * (F.col("q")[1] - F.col("q")[0])
     bands = bands.select(F.col("code").alias("bc"), (F.col("q")[0] - wide).alias("low"), (F.col("q")[1] + wide).alias("high"))
     # one row per language, of which there are fewer than 27**3
     out = scored.join(F.broadcast(bands), F.col("code") == F.col("bc"), "left")

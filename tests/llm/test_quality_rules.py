@@ -112,3 +112,54 @@ def test_whole_model_in_blocks(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr("spanveil.llm.quality_rules.BLOCK_KEYS", 9_000)
     assert rows() == whole and len(whole) == docs.count()
+
+
+def brute_verdicts(rows):
+    """The ids kept of (id, text, lang), from counts in dictionaries and the definition of modified Kneser-Ney."""
+    kept = set()
+    for lang in {x[2] for x in rows}:
+        texts = {t: t.encode() for _, t, c in rows if c == lang and t}
+        base = {t: brute(t) for t in texts}
+        fitted = {t for t, b in base.items() if not b[5] and 10 * b[2] <= b[0]}
+        grams = lambda d: [d[i : i + 5] for i in range(len(d) - 4)]
+        counts = {5: Counter(g for t in fitted for g in grams(texts[t]))}
+        for k in (4, 3, 2, 1):
+            counts[k] = Counter(g[1:] for g in counts[k + 1])
+        discount, after = {}, {}
+        for k, c in counts.items():
+            n = Counter(c.values())
+            y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else None
+            found = [i - (i + 1) * y * n[i + 1] / n[i] if y is not None and n[i] else None for i in (1, 2, 3)]
+            discount[k] = [0, *(d if d is not None and 0 < d < i else usual for d, i, usual in zip(found, (1, 2, 3), (0.5, 1.0, 1.5)))]
+            after[k] = defaultdict(lambda: [0, 0.0])
+            for g, v in c.items():
+                after[k][g[:-1]][0] += v
+                after[k][g[:-1]][1] += discount[k][min(v, 3)]
+        memo = {}
+
+        def p(g, left):
+            if (g, left) not in memo:
+                k, n = len(g), counts[len(g)][g]
+                total, mass = after[k].get(g[:-1], (0, 0.0))
+                below = p(g[1:], left and n == 1) if k > 1 else 1 / 256
+                n, total = n - left, total - left
+                own = max(n - discount[k][min(n, 3)], 0) / total if n > 0 else 0
+                memo[g, left] = own + (min(mass / total, 1) if total > 0 else 1) * below
+            return memo[g, left]
+
+        h = {t: -sum(math.log(p(g, t in fitted)) for g in grams(d)) / len(grams(d)) for t, d in texts.items() if not base[t][5]}
+        q1, q3 = (np.quantile([h[t] for t in fitted], q, method="inverted_cdf") for q in (0.25, 0.75))
+        wide = {t: 4 * (q3 - q1) + 3 / math.sqrt(len(texts[t]) - 4) for t in h}
+        kept |= {i for i, t, c in rows if c == lang and t in h and q1 - wide[t] <= h[t] <= q3 + wide[t]}
+    return kept
+
+
+def test_perplexity_decides(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    quality_of = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()}
+    passed = {i for i, t, _ in rows if not brute(t)[5]}
+    kept = {r.doc_id for r in reject(docs).collect()}
+    assert kept == brute_verdicts(rows)
+    assert {i for i in passed if quality_of.get(i) == 0} and not {i for i in kept if quality_of.get(i) == 0}
+    assert {i for i in passed if quality_of.get(i) == 1} <= kept
