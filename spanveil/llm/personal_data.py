@@ -99,9 +99,10 @@ def detect(docs: DataFrame, share: float = 0.9, support: int = 3, id_col: str =
     together = near.filter("term is not null").select("k1", "k2", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
     together = materialise(together, "personal-together")
     entities = near.select("k1", "k2", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    words = keyed.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
+    # each distinct text once, as in the other two counts
+    words = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text")).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
     known = words.groupBy("term").agg(F.count("*").alias("n_t")).join(together.select("term").distinct(), "term", "left_semi")
-    total = rows.agg(F.count("*").alias("n")).first()["n"]
+    total = rows.select("k1", "k2").distinct().count()
     scored = together.join(entities, "entity").join(known, "term")
     content = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
     mutual = F.log2(F.col("n_te") * F.lit(float(max(total, 1))) / (F.col("n_t") * F.col("n_e")))

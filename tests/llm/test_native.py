@@ -144,3 +144,11 @@ def test_line_dedup_edges(spark):
     got = sorted((str(r.doc_id), r.text, r.n_dropped) for r in drop_lines(df, min_docs=3).collect())
     assert got == [("1", None, 0), ("2", "x", 2), ("2", "y", 2), ("None", t, 0)]
     assert drop_lines(df.limit(0)).collect() == []
+
+
+def test_copies_count_once_in_all_counts(spark):
+    rows = [f"x{i} secretword who@corp.example" for i in range(3)] + [f"filler{i} only" for i in range(20)] + ["secretword elsewhere"]
+    spans = lambda texts: {r.doc_id: r.spans for r in detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), share=0.8, keep_text=False).collect()}
+    once, often = spans(rows), spans(rows + [rows[-1]] * 29)
+    assert once[0] == "email:14:30,term:3:13"
+    assert {i: often[i] for i in once} == once
