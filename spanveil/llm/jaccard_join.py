@@ -10,7 +10,8 @@ the first of each (the prefix); a node that shares fewer with all others togethe
 3. In a cluster all pairs are decided in blocks of ``BLOCK`` nodes: the global order is cut into fragments, the
    overlaps of all pairs are counted by fragment (a matrix product) and summed per pair. Only a spanning forest of the
    links leaves the block, never the pairs.
-4. Pairs that share a prefix shingle across clusters are few; they are listed and decided the same way.
+4. Pairs that share a prefix shingle across clusters are listed; they are decided otherwise, each by a plain intersection of
+   its two whole sets, without fragments.
 5. Connected components of the links.
 """
 
