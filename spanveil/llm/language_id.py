@@ -55,7 +55,7 @@ class Model:
         at = self.words.get(word)
         if at is not None:
             return self.table[at]
-        marked = f"<{word[:200]}>"
+        marked = f"<{word}>"
         found = []
         i = 0
         while i < len(marked):
@@ -65,6 +65,9 @@ class Model:
                     found.append(at)
                     break
             i += 1
+        if len(found) > 1000:  # as many rows as there are different n-grams, however long the word
+            rows, times = np.unique(found, return_counts=True)
+            return (times @ self.table[rows] / len(found)).astype(np.float32)
         return self.table[found].mean(axis=0) if found else np.zeros(len(self.langs), np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:

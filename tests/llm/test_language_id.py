@@ -1,8 +1,9 @@
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from spanveil.llm.language_id import identify, train
+from spanveil.llm.language_id import Model, identify, train
 
 
 def test_held_out_accuracy(spark):
@@ -27,3 +28,9 @@ def test_edges(spark):
     nothing = train(df, F.lit(False))
     assert {r.lang_pred for r in identify(df, nothing).collect()} == {"und"}
     assert zlib.crc32(b"1") % 4 in range(4)
+
+
+def test_long_runs_are_read_whole():
+    model = Model(["x", "y"], {}, {"a": 0, "b": 1}, np.array([[1, -1], [-1, 1]], np.float32))
+    assert model.predict("a" * 200 + "b" * 700)[0] == "y" and model.predict("a" * 200 + "b" * 3000)[0] == "y"
+    assert np.allclose(model.vector("a" * 1000 + "b" * 3000), [-0.5, 0.5])
