@@ -66,4 +66,12 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     df.write.parquet(path)
     release(spark)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialise`` wrote, once the jobs that read them are done; what is derived from them can't be read any more."""
+    for t in tables:
+        _remove(t.sparkSession, t.written_to)
