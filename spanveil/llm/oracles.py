@@ -36,14 +36,14 @@ LINE_DEDUP = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, text, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d WHERE text IS NOT NULL),
 k AS (SELECT doc_id, text, pos, list_transform(list_filter(regexp_split_to_array(line, '[\x20\x09\x0B-\x0D]+'), lambda t: t <> ''), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS t FROM l),
-n AS (SELECT doc_id, text, pos, t, len(t) AS n, (len(t) - 3) // 3 AS one, 2 * (len(t) - 3) // 3 AS two FROM k WHERE len(t) >= 4),
-q AS (SELECT doc_id, text, pos, n || '|0|' || array_to_string(t, ' ') AS key FROM n
-  UNION ALL SELECT doc_id, text, pos, n || '|1|' || array_to_string(t[1:3] || ['|'] || t[one + 4:two + 3] || ['|'] || t[two + 4:], ' ') FROM n WHERE n >= 8
-  UNION ALL SELECT doc_id, text, pos, n || '|2|' || array_to_string(t[1:3] || ['|'] || t[4:one + 3] || ['|'] || t[two + 4:], ' ') FROM n WHERE n >= 8
-  UNION ALL SELECT doc_id, text, pos, n || '|3|' || array_to_string(t[1:3] || ['|'] || t[4:one + 3] || ['|'] || t[one + 4:two + 3], ' ') FROM n WHERE n >= 8),
+n AS (SELECT doc_id, text, pos, t, len(t) AS n, (len(t) - 3) // 3 AS one, 2 * (len(t) - 3) // 3 AS two FROM k WHERE len(t) >= 1),
+q AS (SELECT doc_id, text, pos, greatest(2, ceil(40.0 / n)) AS needs, n || '|0|' || array_to_string(t, ' ') AS key FROM n
+  UNION ALL SELECT doc_id, text, pos, 10, n || '|1|' || array_to_string(t[1:3] || ['|'] || t[one + 4:two + 3] || ['|'] || t[two + 4:], ' ') FROM n WHERE n >= 8
+  UNION ALL SELECT doc_id, text, pos, 10, n || '|2|' || array_to_string(t[1:3] || ['|'] || t[4:one + 3] || ['|'] || t[two + 4:], ' ') FROM n WHERE n >= 8
+  UNION ALL SELECT doc_id, text, pos, 10, n || '|3|' || array_to_string(t[1:3] || ['|'] || t[4:one + 3] || ['|'] || t[one + 4:two + 3], ' ') FROM n WHERE n >= 8),
 o AS (SELECT text, min(doc_id) AS first FROM documents GROUP BY 1),
-r AS (SELECT key, min(o.first) AS first FROM q JOIN o USING (text) GROUP BY 1 HAVING count(DISTINCT text) >= 10),
-x AS (SELECT DISTINCT q.doc_id, q.pos FROM q JOIN r USING (key) JOIN o USING (text) WHERE o.first <> r.first),
+r AS (SELECT key, needs, min(o.first) AS first FROM q JOIN o USING (text) GROUP BY 1, 2 HAVING count(DISTINCT text) >= needs),
+x AS (SELECT DISTINCT q.doc_id, q.pos FROM q JOIN r USING (key, needs) JOIN o USING (text) WHERE o.first <> r.first),
 s AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM l ANTI JOIN x USING (doc_id, pos) GROUP BY 1),
 c AS (SELECT doc_id, count(*) AS n FROM x GROUP BY 1)
 SELECT d.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, coalesce(c.n, 0) AS n_dropped, CASE WHEN d.text IS NOT NULL THEN coalesce(s.text, '') END AS text

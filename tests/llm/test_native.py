@@ -93,29 +93,30 @@ def test_personal_data_edges(spark):
     assert detect(df.limit(0)).collect() == []
 
 
-def brute_lines(rows, min_docs, min_tokens):
+def brute_lines(rows, min_docs=10, weight=40):
     def keys(line):
-        tokens = ["<*>" if re.search("[0-9]", x) else x for x in line.split()]
+        tokens = ["<*>" if re.search("[0-9]", x) else x for x in re.findall(r"[^\x20\x09-\x0D]+", line)]
         n = len(tokens)
-        if n < min_tokens:
+        if n == 0:
             return []
+        whole = (n, 0, max(2, -(-weight // n)), tuple(tokens))
         if n < 8:
-            return [(n, 0, tuple(tokens))]
+            return [whole]
         a, b = (n - 3) // 3 + 3, 2 * (n - 3) // 3 + 3
-        return [(n, 0, tuple(tokens)), *((n, i, tuple(tokens[:3]), tuple(x), tuple(y)) for i, x, y in ((1, tokens[a:b], tokens[b:]), (2, tokens[3:a], tokens[b:]), (3, tokens[3:a], tokens[a:b])))]
+        return [whole, *((n, i, min_docs, tuple(tokens[:3]), tuple(x), tuple(y)) for i, x, y in ((1, tokens[a:b], tokens[b:]), (2, tokens[3:a], tokens[b:]), (3, tokens[3:a], tokens[a:b])))]
 
     where = defaultdict(set)
-    for i, t in rows:
-        for line in t.split("\n"):
+    for _, t in rows:
+        for line in (t or "").split("\n"):
             for k in keys(line):
                 where[k].add(t)
     first = {t: min(i for i, x in rows if x == t) for _, t in rows}
-    stays = {k: min(ts, key=first.get) for k, ts in where.items() if len(ts) >= min_docs}
-    out = {}
+    stays = {k: min(ts, key=first.get) for k, ts in where.items() if len(ts) >= k[2]}
+    out = []
     for i, t in rows:
-        lines = t.split("\n")
+        lines = t.split("\n") if t is not None else []
         kept = [x for x in lines if not any(k in stays and stays[k] != t for k in keys(x))]
-        out[i] = (len(lines), len(lines) - len(kept), "\n".join(kept))
+        out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept) if t is not None else None))
     return out
 
 
@@ -130,20 +131,28 @@ def test_line_dedup_equals_brute_force(spark):
         if rng.random() < 0.4:
             lines.append("Copyright 20%02d all rights" % i)
         rows.append((i, "\n".join(lines)))
-    rows += [(100 + i, rows[i][1]) for i in range(8)] + [(200, ""), (201, "\n\n")]
+    rows += [(100 + i, rows[i][1]) for i in range(8)] + [(200, ""), (201, "\n\n"), (202, None), (203, "  \t padded\t  line \r\n x\x0b\n\n ")]
+    rows += [(300 + i, f"\tpadded line\n{i} only {'y' * i}\nEnd.") for i in range(30)]
+    rows += [(400 + i, " ".join(["the same long passage of text"] * 10) + f"\nnumber {i}{i} z") for i in range(2)]
+    rows += rows[20:24]
     df = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, n_lines int").repartition(3)
-    out = drop_lines(df, min_docs=5, min_tokens=4)
-    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in out.collect()}
-    want = brute_lines(rows, 5, 4)
-    assert got == want and sum(x[1] for x in want.values()) > 30
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.text or "", r.text is None) for r in drop_lines(df, min_docs=5, weight=30).collect())
+    want = brute_lines(rows, 5, 30)
+    assert got == sorted((i, n, d, t or "", t is None) for i, n, d, t in want) and sum(x[2] for x in want) > 60
 
 
 def test_line_dedup_edges(spark):
     t = "a b c d e\nunique line one two three"
     df = spark.createDataFrame([(None, t), (1, None), (2, t + "\nx"), (2, t + "\ny")], "doc_id long, text string")
-    got = sorted((str(r.doc_id), r.text, r.n_dropped) for r in drop_lines(df, min_docs=3).collect())
+    got = sorted((str(r.doc_id), r.text, r.n_dropped) for r in drop_lines(df, min_docs=3, weight=15).collect())
     assert got == [("1", None, 0), ("2", "x", 2), ("2", "y", 2), ("None", t, 0)]
     assert drop_lines(df.limit(0)).collect() == []
+    long = "word " * 60_000 + "\n" + "9" * 100_000 + "\n" + "a9" * 50_000
+    clash = spark.createDataFrame([(i, long if i < 2 else long + f"\n{i}", 1, 2, 3, "k", i) for i in range(3)], "doc_id long, text string, _gone int, _th int, th int, row string, `a.b` long")
+    out = drop_lines(clash)
+    assert out.columns == [*clash.columns, "n_lines", "n_dropped"]
+    got = sorted((r.doc_id, r.text, r._gone, r._th, r.th, r.row, r["a.b"]) for r in out.collect())
+    assert got == [(0, long, 1, 2, 3, "k", 0), (1, long, 1, 2, 3, "k", 1), (2, "9" * 100_000 + "\n" + "a9" * 50_000 + "\n2", 1, 2, 3, "k", 2)]
 
 
 def test_copies_count_once_in_all_counts(spark):
