@@ -1,22 +1,23 @@
 """Op 8: SentencePiece (BPE with byte fallback) encoding by suffix-array matching, and decoding.
 
 Pieces hold no space mark but at their front, so a text falls into segments (space marks and what follows up to the next
-ones) that are encoded each by itself; a worker encodes each distinct segment once. New segments are laid end to end and
-indexed by a suffix array over their first ``longest`` characters. Every piece of the vocabulary is binary-searched in it at
-once, which gives its range of occurrences; the occurrences are edges from where a piece starts to where it ends. Sorted by
+ones) that are encoded each by itself. They are told apart by their hashes, on arrays, and a worker encodes each distinct
+segment once; decoding every text again tells whether two segments ever had one hash, and such texts are encoded anew. New
+segments of a batch are laid end to end and indexed by a suffix array over their first ``longest`` characters. Every piece of
+the vocabulary is binary-searched in it at once, which gives its range of occurrences; the occurrences are edges from where a piece starts to where it ends. Sorted by
 position they are relaxed: a piece reaches its end if merging would keep it beside the piece that reached its start. Of a
 byte-pair vocabulary just one piece reaches each position, so the result is the one that merging by rank gives.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,9 @@ from spanveil.llm import batches as B
 
 MARK = "▁"
 #: Characters of new segments that are indexed at once, and of segments that a worker remembers.
-INDEX_CHARS, MEMORY_CHARS = 700_000, 6_000_000
+INDEX_CHARS, MEMORY_CHARS = 300_000, 6_000_000
+#: Pairs of pieces whose fit a worker remembers.
+MEMORY_PAIRS = 500_000
 #: Bytes of text that are encoded at once: the search for all pieces is paid once for as much.
 GROUP = 8_000_000
 _GAP = 0x10FFFF  # between segments; not a character of any text
@@ -71,6 +74,21 @@ class Vocabulary:
         return parts
 
 
+@dataclass
+class Segments:
+    """The segments of a block of texts: bytes with a space before each text, places, hashes, and each text's first one."""
+
+    wide: np.ndarray
+    offs: np.ndarray
+    starts: np.ndarray
+    stops: np.ndarray
+    hashes: np.ndarray
+    firsts: np.ndarray
+
+    def text(self, i: int) -> str:
+        return self.wide[self.starts[i] : self.stops[i]].tobytes().decode().replace(" ", MARK)
+
+
 class Codec:
     """Encodes and decodes with one vocabulary; keeps the segments it has met, up to a bound."""
 
@@ -80,30 +98,31 @@ class Codec:
         self.usable = [i for p, (_, i) in v.rank.items() if v.merge(p) == [p]]
         self.longest = max(len(v.pieces[i]) for i in self.usable)
         self.lengths = np.array([len(v.pieces[i]) for i in self.usable])
-        self.points = np.full((len(self.usable), self.longest), -1, np.int64)
+        # each piece's characters as big-endian numbers, so that comparing bytes compares characters; and the end of its range
+        points = np.zeros((len(self.usable), self.longest), ">u4")
         for row, i in enumerate(self.usable):
-            self.points[row, : self.lengths[row]] = [ord(c) for c in v.pieces[i]]
+            points[row, : self.lengths[row]] = [ord(c) + 1 for c in v.pieces[i]]
+        self.from_, self.to = points, np.where(points, points, 0xFFFFFFFF).astype(">u4")
         self.bytes_at = {int(v.pieces[i][3:5], 16): i for i, k in enumerate(v.kinds) if k == "byte"}
         self.unknown = next((i for i, p in enumerate(v.pieces) if v.kinds[i] == "other" and p == "<unk>"), 0)
         inside = set("".join(v.rank))
-        self.cuts = "".join(c for c in "\n\t\x0b\x0c" if c not in inside)
-        c = re.escape(self.cuts)
-        self.segment = re.compile(f"{MARK}+[^{MARK}{c}]*|[{c}]|[^{MARK}{c}]+" if c else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.cuts = np.zeros(256, dtype=bool)  # white space that no piece holds stands by itself
+        self.cuts[[ord(c) for c in "\n\t\x0b\x0c" if c not in inside]] = True
         self.fits: dict[int, bool] = {}
         self.short_runs: dict[int, list[int]] = {}
-        self._forget()
+        self.forget()
         # for decoding: the bytes of each id, laid end to end
         texts = [bytes([int(p[3:5], 16)]) if k == "byte" else p.replace(MARK, " ").encode() if k == "normal" else b"" for p, k in zip(v.pieces, v.kinds, strict=True)]
         self.out_bytes = np.frombuffer(b"".join(texts), np.uint8)
         self.out_sizes = np.array([len(t) for t in texts])
         self.out_starts = np.cumsum(self.out_sizes) - self.out_sizes
 
-    def _forget(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.used = 0
-        self.starts: list[int] = []
-        self.sizes: list[int] = []
+    def forget(self) -> None:
+        self.known = np.zeros(0, np.uint64)  # hashes of segments in order, and where their ids are
+        self.starts = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
+        self.chars = 0
 
     # encoding
 
@@ -134,25 +153,13 @@ class Codec:
     def _ranges(self, text: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each usable piece the range of ``order`` where it starts: all pieces are searched together."""
         n = len(order)
-        padded = np.concatenate((text, np.full(self.longest, -2, np.int64)))
-        steps = np.arange(self.longest)
-        ends = []
-        for upper in (False, True):
-            lo, hi = np.zeros(len(self.usable), np.int64), np.full(len(self.usable), n, np.int64)
-            for _ in range(int(n).bit_length() + 1):
-                open_ = lo < hi
-                mid = np.minimum((lo + hi) // 2, n - 1)
-                there = padded[order[mid][:, None] + steps]
-                differ = (there != self.points) & (self.points >= 0)
-                first = differ.argmax(axis=1)
-                rows = np.arange(len(first))
-                equal = ~differ[rows, first]
-                less = ~equal & (there[rows, first] < self.points[rows, first])
-                go_right = open_ & (less | equal if upper else less)
-                lo = np.where(go_right, mid + 1, lo)
-                hi = np.where(open_ & ~go_right, mid, hi)
-            ends.append(lo)
-        return ends[0], ends[1]
+        padded = np.concatenate((text + 1, np.zeros(self.longest, np.int64))).astype(">u4")
+        there = np.empty((n, self.longest), ">u4")
+        for i in range(self.longest):
+            there[:, i] = padded[order + i]
+        wide = f"S{4 * self.longest}"
+        suffixes = there.view(wide).ravel()
+        return np.searchsorted(suffixes, self.from_.view(wide).ravel(), "left"), np.searchsorted(suffixes, self.to.view(wide).ravel(), "right")
 
     def _keep(self, a: int, b: int) -> bool:
         """Whether merging the texts of two pieces, joined, gives back just these two."""
@@ -191,7 +198,7 @@ class Codec:
                     key = before * many + p
                     ok = fits.get(key)
                     if ok is None:
-                        if len(fits) > 2_000_000:
+                        if len(fits) > MEMORY_PAIRS:
                             fits.clear()
                         ok = fits[key] = self._keep(before, p)
                     if not ok:
@@ -222,8 +229,8 @@ class Codec:
             self.short_runs[rest] = [self.v.rank[p][1] for p in self.v.merge(MARK * rest)]
         return [self.v.rank[MARK * longest][1]] * full + self.short_runs[rest]
 
-    def _learn(self, new: list[str]) -> None:
-        """Adds segments; of several leading marks all but the last are a run of their own, unless that one stays alone too."""
+    def ids_of(self, new: list[str]) -> list[list[int]]:
+        """The ids of segments; of several leading marks all but the last are a run of their own, unless that one stays alone too."""
         tails: dict[str, list[int]] = {}
         wanted = list(dict.fromkeys(s if not s.startswith(MARK * 2) else MARK + s.lstrip(MARK) for s in new))
         at = 0
@@ -234,42 +241,78 @@ class Codec:
                 at += 1
             tails |= zip(wanted[first:at], self._relax(wanted[first:at]), strict=True)
         alone = self.v.rank.get(MARK, (0, -1))[1]
+        out = []
         for s in new:
+            ids = tails[s if not s.startswith(MARK * 2) else MARK + s.lstrip(MARK)]
             if s.startswith(MARK * 2):
                 marks = len(s) - len(s.lstrip(MARK))
-                ids = tails[MARK + s.lstrip(MARK)]
                 ids = self._run(marks) + ids[1:] if ids[0] == alone else self._run(marks - 1) + ids
-            else:
-                ids = tails[s]
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.rows[s] = len(self.starts)
-            self.starts.append(self.used)
-            self.sizes.append(len(ids))
-            self.used += len(ids)
-
-    def learn(self, texts: pa.Array) -> None:
-        """Meets all segments of the texts, so that encoding them has none to add."""
-        if self.used > MEMORY_CHARS:
-            self._forget()
-        new: set[str] = set()
-        for t in texts:
-            new.update(self.segment.findall(MARK + t.as_py().replace(" ", MARK)) if len(t.as_py()) else ())
-        self._learn([s for s in new if s not in self.rows])
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, the n + 1 offsets of each text's)."""
-        parts = [self.segment.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = list({s for p in parts for s in p if s not in self.rows})
-        if new:
-            self._learn(new)
-        rows = self.rows
-        which = np.array([rows[s] for p in parts for s in p], np.int64)
-        sizes = np.array(self.sizes, np.int64)[which] if len(which) else which
-        ids = self.flat[B.expand(np.array(self.starts, np.int64)[which], sizes)] if len(which) else np.zeros(0, np.int32)
-        ends = np.append(0, np.cumsum(sizes))
-        return ids, ends[np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int64)]
+            out.append(ids)
+        return out
+
+    def learn(self, hashes: np.ndarray, segments: list[str]) -> None:
+        """Remembers the ids of new segments, given with their hashes."""
+        found = self.ids_of(segments)
+        sizes = np.array([len(x) for x in found], np.int64)
+        starts = len(self.flat) + np.cumsum(sizes) - sizes
+        self.flat = np.concatenate([self.flat, *(np.array(x, np.int32) for x in found)])
+        self.chars += sum(map(len, segments))
+        known = np.concatenate((self.known, hashes))
+        order = np.argsort(known, kind="stable")
+        self.known = known[order]
+        self.starts, self.sizes = np.concatenate((self.starts, starts))[order], np.concatenate((self.sizes, sizes))[order]
+
+    def segments(self, buf: np.ndarray, offs: np.ndarray) -> Segments:
+        """Those of a block of texts, the space mark in them already a space; a space goes before each that isn't empty."""
+        sizes = np.diff(offs)
+        shift = np.cumsum(sizes > 0)
+        ends = offs[1:] + shift
+        wide = np.full(int(ends[-1]) if len(ends) else 0, 0x20, np.uint8)
+        wide[np.arange(len(buf)) + np.repeat(shift, sizes)] = buf
+        space, cut = wide == 0x20, self.cuts[wide]
+        head = cut | space
+        head[1:] &= cut[1:] | ~space[:-1]
+        head[1:] |= cut[:-1]
+        offs = np.append(0, ends)
+        head[offs[:-1][sizes > 0]] = True
+        starts = np.flatnonzero(head)
+        stops = np.append(starts[1:], len(wide))
+        return Segments(wide, offs, starts, stops, B.Rolling.of_bytes(wide).of(starts, stops), np.searchsorted(starts, offs))
+
+    def missing(self, blocks: list[Segments]) -> tuple[np.ndarray, list[str]]:
+        """The hashes and texts of segments not yet known."""
+        found: dict[int, str] = {}
+        for x in blocks:
+            hashes, first = np.unique(x.hashes, return_index=True)
+            at = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
+            new = self.known[at] != hashes if len(self.known) else np.ones(len(hashes), dtype=bool)
+            for h, i in zip(hashes[new].tolist(), first[new].tolist(), strict=True):
+                if h not in found:
+                    found[h] = x.text(i)
+        return np.array(list(found), np.uint64), list(found.values())
+
+    def encode(self, x: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, the n + 1 offsets of each text's, whether decoding gives each back); all segments are known."""
+        which = np.searchsorted(self.known, x.hashes)
+        sizes = self.sizes[which]
+        ids = self.flat[B.expand(self.starts[which], sizes)]
+        offs = np.append(0, np.cumsum(sizes))[x.firsts]
+        raw = self._bytes(ids)
+        if len(raw) == len(x.wide) and (raw == x.wide).all():
+            return ids, offs, np.ones(len(offs) - 1, dtype=bool)
+        parts, same = [], []
+        for i in range(len(offs) - 1):
+            mine, want = ids[offs[i] : offs[i + 1]], x.wide[x.offs[i] : x.offs[i + 1]]
+            ok = np.array_equal(self._bytes(mine), want)
+            if not ok:  # two segments with one hash, or a vocabulary that can't give every text back
+                mine = np.array([p for ids in self.ids_of([x.text(k) for k in range(x.firsts[i], x.firsts[i + 1])]) for p in ids], np.int32)
+                ok = np.array_equal(self._bytes(mine), want)
+            parts.append(mine)
+            same.append(ok)
+        return np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts])), np.array(same)
+
+    def _bytes(self, ids: np.ndarray) -> np.ndarray:
+        return self.out_bytes[B.expand(self.out_starts[ids], self.out_sizes[ids])]
 
     def decode(self, ids: np.ndarray, offs: np.ndarray) -> list[str]:
         """The texts of runs of ids, without the space put before each."""
@@ -310,12 +353,19 @@ def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _encode(held, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codec = _codec(held)
     for group in _groups(it):
-        codec.learn(group.column("text"))
-        for part, _, _ in B.blocks(iter([group]), "text"):
-            texts = part.column("text").to_pylist()
-            ids, offs = codec.encode(texts)
-            back = codec.decode(ids, offs)
-            same = [b == t.replace(MARK, " ") for b, t in zip(back, texts, strict=True)]
+        parts, blocks = [], []
+        for part, buf, offs in B.blocks(iter([group]), "text"):
+            if MARK.encode() in buf.tobytes():
+                buf, offs = B.column_bytes(pc.replace_substring(part.column("text"), MARK, " "))
+            parts.append(part)
+            blocks.append(codec.segments(buf, offs))
+        if codec.chars > MEMORY_CHARS:
+            codec.forget()
+        hashes, texts = codec.missing(blocks)
+        if len(hashes):
+            codec.learn(hashes, texts)
+        for part, x in zip(parts, blocks, strict=True):
+            ids, offs, same = codec.encode(x)
             lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([part.column("id"), lists, pa.array(np.diff(offs)), pa.array(same, pa.bool_())], names=["id", "ids", "n_ids", "round_trip"])
 
