@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.session import materialise
+from spanveil.session import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,11 +22,13 @@ def components(edges: DataFrame) -> DataFrame:
         least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "components")
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = materialise(large, "components")
+        discard(least, now)
         # small star: the smaller neighbours and the node are tied to the smallest of them
         least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "components")
         joined = large.join(least, "a")
         now = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         now = materialise(now, "components")
+        discard(least, large)
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if before == state:
             break

@@ -1,17 +1,17 @@
 """Op 6: similarity join on word shingles by vertical partitioning.
 
 Shingles have one global order, rarest first; rarity is read from a sketch of fixed size (document counts by hash bucket), so
-the order is the same everywhere and very common shingles come last. Two sets that link share up to eight shingles among
-the first of each (the prefix); a node that shares fewer with all others together is out. Then:
+the order is the same everywhere and very common shingles come last. The order is cut into ``FRAGMENTS`` fragments of about
+equal mass. Two sets that link share a number of shingles among the first of each (the prefix, which lies in the first
+fragments); a node that shares fewer with all others together is out. Then:
 
 1. Documents with equal sets are one node, so copies never meet each other.
 2. Each prefix shingle held by two nodes or more names its smallest node as leader; a node joins the cluster of the leader
    that most of its shingles name. Large groups of near copies so become one cluster.
-3. In a cluster all pairs are decided in blocks of ``BLOCK`` nodes: the global order is cut into fragments, the
-   overlaps of all pairs are counted by fragment (a matrix product) and summed per pair. Only a spanning forest of the
-   links leaves the block, never the pairs.
-4. Pairs that share a prefix shingle across clusters are listed; they are decided otherwise, each by a plain intersection of
-   its two whole sets, without fragments.
+3. In a cluster all pairs are decided in blocks of ``BLOCK`` nodes: a block's partial overlaps are counted one fragment of the
+   order after the other and summed per pair. Only a spanning forest of the links leaves the block, never the pairs.
+4. Pairs that share prefix shingles across clusters are listed, and go if their prefixes have too few in common. For those
+   left, each fragment's partial overlap is a row of its own, and Spark sums the rows per pair.
 5. Connected components of the links.
 """
 
@@ -22,16 +22,19 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.llm import batches as B
+from spanveil.llm.carried import pack, unpack
 from spanveil.llm.components import components
-from spanveil.session import materialise
+from spanveil.session import discard, materialise
 
-SKETCH_BITS = 18
-#: Nodes in a block of a cluster; shingles in a fragment of the order when overlaps are counted.
-BLOCK, FRAGMENT = 512, 4096
+SKETCH_BITS = 20
+#: The sketch is sent in this many parts by each task, and summed part by part.
+_PARTS = 16
+#: Nodes in a block of a cluster; fragments of the global order; columns of a matrix when overlaps are counted.
+BLOCK, FRAGMENTS, COLUMNS = 512, 8, 4096
 #: Sets that a task remembers so as to send each once.
 SEEN = 500_000
 
@@ -63,24 +66,51 @@ def _identity(s: np.ndarray) -> tuple[int, int]:
     return tuple(B.signed(B.mix(both)).tolist())
 
 
-def _survey(size: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and at the end this task's share of the sketch."""
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    names = ["id", "k1", "n", "sid", "check", "bucket", "docs"]
-    none = lambda n, t: pa.nulls(n, t)
-    kind = pa.int64()
-    for part, buf, offs in B.blocks(it, "text"):
-        kind = part.column("id").type
+def _bucket(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _sketch(size: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """This task's share of the sketch, in parts."""
+    counts = np.zeros(1 << SKETCH_BITS, np.int32)
+    for _, buf, offs in B.blocks(it, "text"):
         sets = shingle_sets(buf, offs, size)
-        for s in sets:
-            np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-        ids = [_identity(s) for s in sets]
-        n = part.num_rows
-        cols = [part.column("id"), part.column("k1"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in ids], pa.int64()), pa.array([y for _, y in ids], pa.int64()), none(n, pa.int32()), none(n, pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, names=names)
-    held = np.flatnonzero(sketch)
-    n = len(held)
-    yield pa.RecordBatch.from_arrays([none(n, kind), *(none(n, pa.int64()) for _ in range(4)), pa.array(held.astype(np.int32)), pa.array(sketch[held])], names=names)
+        if sets:
+            counts += np.bincount(_bucket(np.concatenate(sets)), minlength=len(counts)).astype(np.int32)
+    if counts.any():
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(_PARTS), pa.int32()), pa.array([x.tobytes() for x in np.split(counts, _PARTS)], pa.binary())], names=["part", "counts"])
+
+
+def _sum_parts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in it:
+        for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts"), strict=True):
+            more = np.frombuffer(counts.as_buffer(), np.int32).astype(np.int64)
+            held[part] = held[part] + more if part in held else more
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["part", "counts"])
+
+
+def _survey(size: int, percent: int, held, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document; the first of a set in this task has the prefix, in the global order."""
+    sketch = held.value
+    seen: set[tuple[int, int]] = set()
+    for part, buf, offs in B.blocks(it, "text"):
+        n, ids, short, tokens = [], [], [], []
+        for s in shingle_sets(buf, offs, size):
+            key = _identity(s)
+            n.append(len(s))
+            ids.append(key)
+            first, every = prefix_lengths(len(s), percent) if len(s) else (0, 0)
+            short.append(first)
+            if key in seen or not len(s):
+                tokens.append(None)
+                continue
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(key)
+            tokens.append(B.signed(s[np.lexsort((s, sketch[_bucket(s)]))[:every]]))
+        cols = [part.column("id"), part.column("k1"), pa.array(n, pa.int64()), pa.array([x for x, _ in ids], pa.int64()), pa.array([y for _, y in ids], pa.int64()), pa.array(short, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["id", "k1", "n", "sid", "check", "short", "tokens"])
 
 
 def least_common(n):
@@ -97,68 +127,40 @@ def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
     return min(n, n - -(-2 * percent * n // (100 + percent)) + more), min(n, n - -(-percent * n // 100) + more)
 
 
-def _prefixes(size: int, percent: int, held, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sketch = held.value
-    seen: set[int] = set()
-    for _, buf, offs in B.blocks(it, "text"):
-        tokens, sids, tags = [], [], []
-        for s in shingle_sets(buf, offs, size):
-            sid = _identity(s)[0]
-            if not len(s) or sid in seen:
-                continue
-            if len(seen) >= SEEN:
-                seen.clear()
-            seen.add(sid)
-            n = len(s)
-            short, long = prefix_lengths(n, percent)
-            load = sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-            first = np.lexsort((s, load))[:long]
-            tokens.append(s[first])
-            sids.append(np.full(long, sid, np.int64))
-            tags.append(n * 2 + (np.arange(long) < short))
-        if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array(B.signed(np.concatenate(tokens))), pa.array(np.concatenate(sids)), pa.array(np.concatenate(tags).astype(np.int32))], names=["token", "sid", "tag"])
-
-
-def _sets(size: int, carried: list[str], it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _segments(size: int, held, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, fragment, shingles): each set cut by the fragments of the global order."""
+    sketch, pivots = held.value
     for part, buf, offs in B.blocks(it, "text"):
-        sets = shingle_sets(buf, offs, size)
-        for i in range(0, len(sets), 200):
-            some = sets[i : i + 200]
-            yield pa.RecordBatch.from_arrays([*(part.column(c).slice(i, len(some)) for c in carried), pa.array([s.tobytes() for s in some], pa.binary())], names=[*carried, "items"])
-
-
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """The sizes of all pairwise intersections: counted fragment by fragment of the order, and summed."""
-    g = len(sets)
-    items = np.concatenate(sets)
-    of = np.repeat(np.arange(g), [len(s) for s in sets])
+        node, fragment, items = [], [], []
+        for i, s in zip(part.column("node").to_pylist(), shingle_sets(buf, offs, size), strict=True):
+            of = np.searchsorted(pivots, sketch[_bucket(s)])
+            for f in np.unique(of).tolist():
+                node.append(i)
+                fragment.append(f)
+                items.append(s[of == f].tobytes())
+        for i in range(0, len(node), 1000):
+            some = slice(i, i + 1000)
+            yield pa.RecordBatch.from_arrays([pa.array(node[some], pa.int64()), pa.array(fragment[some], pa.int32()), pa.array(items[some], pa.binary())], names=["node", "fragment", "items"])
+
+
+def overlaps(of: np.ndarray, items: np.ndarray, g: int) -> np.ndarray:
+    """The sizes of all pairwise intersections of the g sets' shingles in one fragment of the order."""
     order = np.argsort(items, kind="stable")
     items, of = items[order], of[order]
     new = np.append(True, items[1:] != items[:-1])
-    heads = np.flatnonzero(new)
-    counts = np.diff(np.append(heads, len(items)))
+    counts = np.diff(np.append(np.flatnonzero(new), len(items)))
     shared = np.repeat(counts > 1, counts)  # a shingle of one set alone overlaps with none
-    column = (np.cumsum(new) - 1)[shared]
     of = of[shared]
-    _, column = np.unique(column, return_inverse=True)
+    _, column = np.unique((np.cumsum(new) - 1)[shared], return_inverse=True)
     total = np.zeros((g, g), np.float32)
-    width = max(64, min(FRAGMENT, 8_000_000 // max(g, 1)))
+    width = max(64, min(COLUMNS, 8_000_000 // max(g, 1)))
     last = int(column[-1]) + 1 if len(column) else 0
     for a in range(0, last, width):
         lo, hi = np.searchsorted(column, [a, a + width])
-        fragment = np.zeros((g, min(width, last - a)), np.float32)
-        fragment[of[lo:hi], column[lo:hi] - a] = 1
-        total += fragment @ fragment.T
-    out = np.rint(total).astype(np.int64)
-    np.fill_diagonal(out, [len(s) for s in sets])
-    return out
-
-
-def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    inter = overlaps(sets)
-    n = np.array([len(s) for s in sets], np.int64)
-    return 100 * inter >= percent * (n[:, None] + n[None, :] - inter)
+        some = np.zeros((g, min(width, last - a)), np.float32)
+        some[of[lo:hi], column[lo:hi] - a] = 1
+        total += some @ some.T
+    return np.rint(total).astype(np.int64)
 
 
 def _forest(link: np.ndarray) -> np.ndarray:
@@ -173,52 +175,84 @@ def _forest(link: np.ndarray) -> np.ndarray:
 
 
 def _clusters(percent: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (lead, one, two) → edges of a spanning forest of each block pair."""
-    held: list[tuple] = []
+    """Rows sorted by (lead, one, two, fragment) → edges of a spanning forest of each pair of blocks."""
+    at: dict[int, int] = {}  # the nodes of the pair of blocks, their blocks and their sizes
+    blocks: list[int] = []
+    sizes: list[int] = []
+    total = np.zeros((0, 0), np.int64)
+    of: list[int] = []
+    items: list[np.ndarray] = []
     met: set[int] = set()
-    key = None
-
-    def decide() -> tuple[list[int], list[int]]:
-        if len(held) < 2:
-            return [], []
-        sets = [np.frombuffer(x, np.uint64) for _, _, x in held]
-        link = _linked(sets, percent)
-        if key[1] != key[2]:
-            side = np.array([b == key[1] for _, b, _ in held])
-            link &= (side[:, None] != side[None, :]) | np.eye(len(held), dtype=bool)
-        label = _forest(link)
-        rows = np.flatnonzero(label != np.arange(len(held)))
-        return [held[i][0] for i in rows], [held[label[i]][0] for i in rows]
-
-    def edges(a: list[int], b: list[int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    key, fragment = None, None
+
+    def count() -> None:
+        """Adds the partial overlaps of a fragment."""
+        nonlocal total
+        g = len(at)
+        if g > len(total):
+            more = np.zeros((max(g, 2 * len(total)),) * 2, np.int64)
+            more[: len(total), : len(total)] = total
+            total = more
+        if len(items) > 1:
+            total[:g, :g] += overlaps(np.repeat(of, [len(x) for x in items]), np.concatenate(items), g)
+        of.clear()
+        items.clear()
+        met.clear()
+
+    def decide() -> pa.RecordBatch:
+        nonlocal total
+        count()
+        g = len(at)
+        n = np.array(sizes, np.int64)
+        inter = total[:g, :g]
+        link = 100 * inter >= percent * (n[:, None] + n[None, :] - inter)
+        np.fill_diagonal(link, True)
+        if key and key[1] != key[2]:
+            side = np.array([b == key[1] for b in blocks])
+            link &= (side[:, None] != side[None, :]) | np.eye(g, dtype=bool)
+        nodes = np.array(list(at), np.int64)
+        label = _forest(link) if g else np.zeros(0, np.int64)
+        rows = np.flatnonzero(label != np.arange(g))
+        at.clear()
+        blocks.clear()
+        sizes.clear()
+        total = np.zeros((0, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(nodes[rows], pa.int64()), pa.array(nodes[label[rows]], pa.int64())], names=["a", "b"])
 
     for batch in it:
-        left, right = [], []
-        cols = [batch.column(c).to_pylist() for c in ("lead", "one", "two", "sid", "block", "items")]
-        for lead, one, two, sid, block, items in zip(*cols, strict=True):
+        cols = [batch.column(c).to_pylist() for c in ("lead", "one", "two", "node", "block", "n", "fragment", "items")]
+        for lead, one, two, node, block, n, f, x in zip(*cols, strict=True):
             if (lead, one, two) != key:
-                a, b = decide()
-                left += a
-                right += b
-                held, met, key = [], set(), (lead, one, two)
-            if sid not in met:
-                met.add(sid)
-                held.append((sid, block, items))
-        yield edges(left, right)
-    yield edges(*decide())
-
-
-def _pairs(percent: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                if key:
+                    yield decide()
+                key, fragment = (lead, one, two), f
+            elif f != fragment:
+                count()
+                fragment = f
+            if node not in at:
+                at[node] = len(at)
+                blocks.append(block)
+                sizes.append(n)
+            if node not in met:
+                met.add(node)
+                of.append(at[node])
+                items.append(np.frombuffer(x, np.uint64))
+    yield decide()
+
+
+def _partial(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The overlap of each pair in a fragment, from the shingles that its two sets have there."""
     for batch in it:
-        x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
-        ok = []
-        for p, q in zip(x, y, strict=True):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+        counts = []
+        for p, q in zip(batch.column("x"), batch.column("y"), strict=True):
+            p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
             at = np.searchsorted(q, p)
-            inter = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-            ok.append(100 * inter >= percent * (len(p) + len(q) - inter))
-        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            counts.append(int((q[np.minimum(at, len(q) - 1)] == p).sum()))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(counts, pa.int64())], names=["a", "b", "na", "nb", "c"])
+
+
+def _ceil(a: Column, b: int) -> Column:
+    return -F.floor(-a / F.lit(b)).cast("long")
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,79 +268,100 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("k1", F.xxhash64("id", "text"))
     kind = base.schema["id"].dataType.simpleString()
-    survey = materialise(base.mapInArrow(partial(_survey, size), f"id {kind}, k1 long, n long, sid long, check long, bucket int, docs long"), "jaccard-survey")
-    rows = survey.filter("bucket is null")
-    # 2**SKETCH_BITS sums at most
-    counts = survey.filter("bucket is not null").groupBy("bucket").agg(F.sum("docs").alias("docs")).toArrow()
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    sketch[counts.column("bucket").to_numpy()] = counts.column("docs").to_numpy()
+    # the whole sketch has 2**SKETCH_BITS numbers, whatever the input
+    slices = base.select("text").mapInArrow(partial(_sketch, size), "part int, counts binary").repartition(_PARTS, "part").mapInArrow(_sum_parts, "part int, counts binary")
+    sketch = np.zeros((_PARTS, (1 << SKETCH_BITS) // _PARTS), np.int64)
+    for r in slices.collect():
+        sketch[r["part"]] = np.frombuffer(r["counts"], np.int64)
+    sketch = np.minimum(sketch.ravel(), 2**31 - 1).astype(np.int32)
+    load = np.sort(sketch)
+    mass = np.cumsum(load, dtype=np.float64)
+    pivots = load[np.minimum(np.searchsorted(mass, mass[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS), len(load) - 1)]
     held = spark.sparkContext.broadcast(sketch)
-
-    full = rows.filter("n > 0")
-    nodes = materialise(full.groupBy("sid").agg(F.min("k1").alias("k1"), F.min("check").alias("lo"), F.max("check").alias("hi")), "jaccard-nodes")
-    if not nodes.filter("lo <> hi").isEmpty():
-        raise RuntimeError("two sets share a 64-bit identity")
-
-    prefixes = base.select("text").mapInArrow(partial(_prefixes, size, percent, held), "token long, sid long, tag int")
-    leads = prefixes.groupBy("token").agg(F.min("sid").alias("lead"), F.max("sid").alias("hi")).filter("lead <> hi").select("token", "lead")
-    members = materialise(prefixes.join(materialise(leads, "jaccard-leads"), "token").distinct(), "jaccard-members")
+    cuts = spark.sparkContext.broadcast((sketch, np.unique(pivots)))
+
+    survey = materialise(base.mapInArrow(partial(_survey, size, percent, held), f"id {kind}, k1 long, n long, sid long, check long, short int, tokens array<long>"), "jaccard-survey")
+    # nodes: sets, told apart by 128 bits and numbered once, as written
+    nodes = survey.filter("tokens is not null").groupBy("sid", "check").agg(F.min("k1").alias("k1"), F.max("n").alias("n"), F.max("short").alias("short"), F.any_value("tokens").alias("tokens"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
+    rows = materialise(survey.select("id", "n", "sid", "check").join(nodes.select("sid", "check", "node"), ["sid", "check"], "left").select("id", "n", "node"), "jaccard-rows")
+    discard(survey)
+
+    prefixes = nodes.select("node", "n", "short", F.posexplode("tokens").alias("at", "token"))
+    prefixes = prefixes.select("token", "node", (F.col("n") * 2 + (F.col("at") < F.col("short")).cast("int")).alias("tag"))
+    leads = materialise(prefixes.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("hi")).filter("lead <> hi").select("token", "lead"), "jaccard-leads")
+    members = materialise(prefixes.join(leads, "token"), "jaccard-members")
+    discard(leads)
     size_of = F.floor(F.col("tag") / 2)
     common = lambda n: F.least(F.lit(8), F.greatest(F.lit(1), F.floor(n / 20)))  # noqa: E731  as least_common
     for _ in range(2):
         # a node that shares too few shingles with all others together can't link; without it, others may share fewer
-        able = members.groupBy("sid").agg(F.count("*").alias("c"), F.max(size_of).alias("n")).filter(F.col("c") >= common(F.floor(F.col("n") * percent / 100))).select("sid")
-        members = members.join(materialise(able, "jaccard-able"), "sid")
-        shared = members.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("token", F.col("lo").alias("lead"))
-        members = materialise(members.drop("lead").join(materialise(shared, "jaccard-shared"), "token"), "jaccard-members")
+        able = members.groupBy("node").agg(F.count("*").alias("c"), F.max(size_of).alias("n")).filter(F.col("c") >= common(F.floor(F.col("n") * percent / 100))).select("node")
+        able = materialise(able, "jaccard-able")
+        shared = members.join(able, "node").groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token", F.col("lo").alias("lead"))
+        shared = materialise(shared, "jaccard-shared")
+        fewer = materialise(members.drop("lead").join(able, "node").join(shared, "token"), "jaccard-members")
+        discard(members, able, shared)
+        members = fewer
 
     def homes(leading: DataFrame) -> DataFrame:
-        votes = leading.groupBy("sid", "lead").agg(F.count("*").alias("votes"))
-        return materialise(votes.groupBy("sid").agg(F.max(F.struct("votes", (-F.col("lead")).alias("to"))).alias("best")).select("sid", (-F.col("best.to")).alias("lead")), "jaccard-home")
+        votes = leading.groupBy("node", "lead").agg(F.count("*").alias("votes"))
+        return materialise(votes.groupBy("node").agg(F.min(F.struct((-F.col("votes")).alias("votes"), "lead")).alias("best")).select("node", F.col("best.lead").alias("lead")), "jaccard-home")
 
     home = homes(members)
     for _ in range(2):
         # clusters that share many shingles become one: now the smallest cluster among a shingle's nodes leads
-        moved = members.drop("lead").join(home, "sid")
-        least = materialise(moved.groupBy("token").agg(F.min("lead").alias("lead")), "jaccard-least")
-        home = homes(members.drop("lead").join(least, "token"))
+        least = materialise(members.drop("lead").join(home, "node").groupBy("token").agg(F.min("lead").alias("lead")), "jaccard-least")
+        moved = homes(members.drop("lead").join(least, "token"))
+        discard(home, least)
+        home = moved
     # only a node that shares enough shingles with nodes of its own cluster can link there
-    own = members.select("token", "sid", "tag").join(home, "sid")
-    pairable = materialise(own.groupBy("token", "lead").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("token", "lead"), "jaccard-pairable")
-    inner = own.join(pairable, ["token", "lead"]).groupBy("sid").agg(F.count("*").alias("c"), F.max(size_of).alias("n"), F.first("lead").alias("lead"))
-    inner = materialise(inner.filter(F.col("c") >= common(F.floor(F.col("n") * percent / 100))).select("sid", "lead"), "jaccard-inner")
-    sizes = inner.groupBy("lead").agg(F.count("*").alias("size")).filter("size > 1")
-    sizes = materialise(sizes.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "jaccard-sizes")
+    own = members.select("token", "node", "tag").join(home, "node")
+    pairable = materialise(own.groupBy("token", "lead").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token", "lead"), "jaccard-pairable")
+    inner = own.join(pairable, ["token", "lead"]).groupBy("node").agg(F.count("*").alias("c"), F.max(size_of).alias("n"), F.any_value("lead").alias("lead"))
+    inner = materialise(inner.filter(F.col("c") >= common(F.floor(F.col("n") * percent / 100))).select("node", "lead", "n"), "jaccard-inner")
+    sizes = inner.groupBy("lead").agg(F.count("*").alias("size")).filter("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    blocked = inner.join(sizes, "lead").select("node", "n", "lead", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    blocked = materialise(blocked, "jaccard-blocked")
+    discard(pairable, inner)
 
     # pairs across clusters; a pair is led by the prefix of its shorter set
-    homed = members.join(home.withColumnRenamed("lead", "cluster"), "sid").select("token", "sid", "cluster", F.floor(F.col("tag") / 2).alias("n"), (F.col("tag") % 2 == 1).alias("short"))
+    homed = members.join(home.withColumnRenamed("lead", "cluster"), "node").select("token", "node", "cluster", size_of.alias("n"), (F.col("tag") % 2 == 1).alias("short"))
     mixed = materialise(homed.groupBy("token").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).filter("lo <> hi").select("token"), "jaccard-mixed")
     homed = materialise(homed.join(mixed, "token"), "jaccard-homed")
-    other = homed.select("token", *(F.col(c).alias(f"{c}_") for c in ("sid", "cluster", "n", "short")))
-    close = (100 * F.col("n") >= percent * F.col("n_")) & (F.col("short") & ((F.col("n") < F.col("n_")) | ((F.col("n") == F.col("n_")) & (F.col("sid") < F.col("sid_")))))
+    other = homed.select("token", *(F.col(c).alias(f"{c}_") for c in ("node", "cluster", "n", "short")))
+    close = (100 * F.col("n") >= percent * F.col("n_")) & (F.col("short") & ((F.col("n") < F.col("n_")) | ((F.col("n") == F.col("n_")) & (F.col("node") < F.col("node_")))))
     pairs = homed.join(other, "token").filter((F.col("cluster") != F.col("cluster_")) & (F.col("n") <= F.col("n_")) & close)
-    pairs = pairs.groupBy(F.col("sid").alias("a"), F.col("sid_").alias("b")).agg(F.count("*").alias("c"), F.max("n").alias("n")).filter(F.col("c") >= common(F.col("n")))
-    pairs = materialise(pairs.select("a", "b"), "jaccard-pairs")
-
-    # Sets are made where they are needed, from one exchange of the text that both uses share; rows that repeat a node are
-    # passed over by whoever reads them.
-    dealt = base.select("k1", "text").repartition(parts, "k1")
-    blocked = materialise(nodes.join(inner, "sid").join(sizes, "lead").select("k1", "sid", "lead", "blocks", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block")), "jaccard-blocked")
-    inside = dealt.join(blocked, "k1").mapInArrow(partial(_sets, size, ["sid", "lead", "blocks", "block"]), "sid long, lead long, blocks int, block int, items binary")
-    inside = inside.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    inside = inside.select("lead", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "sid", "block", "items")
-    inside = inside.repartition(parts, "lead", "one", "two").sortWithinPartitions("lead", "one", "two").mapInArrow(partial(_clusters, percent), "a long, b long")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    ends = materialise(nodes.join(ends, "sid").select("k1", "sid"), "jaccard-ends")
-    sets = materialise(dealt.join(ends, "k1").mapInArrow(partial(_sets, size, ["sid"]), "sid long, items binary").groupBy("sid").agg(F.any_value("items").alias("items")), "jaccard-sets")
-    across = pairs.join(sets.select(F.col("sid").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("items").alias("y")), "b")
-    across = across.select("a", "b", "x", "y").mapInArrow(partial(_pairs, percent), "a long, b long")
+    pairs = pairs.groupBy(F.col("node").alias("a"), F.col("node_").alias("b")).agg(F.count("*").alias("c"), F.max("n").alias("n")).filter(F.col("c") >= common(F.col("n"))).select("a", "b")
+    # their whole prefixes say more: with an overlap of o, sets of n and m have so many in common among their first p and q
+    one, two = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}")) for c in ("a", "b"))
+    pairs = pairs.join(one, "a").join(two, "b")
+    o = _ceil(percent * (F.col("na") + F.col("nb")), 100 + percent)
+    pairs = pairs.filter(F.size(F.array_intersect("ta", "tb")) >= F.least(*(F.size(f"t{c}") - F.col(f"n{c}") + o for c in ("a", "b"))))
+    pairs = materialise(pairs.select("a", "b", "na", "nb"), "jaccard-pairs")
+    discard(mixed, homed, members, home)
+
+    # the sets of the nodes that may link, cut by fragments; documents that repeat a node bring the same
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(blocked.select("node")).distinct()
+    ends = materialise(nodes.join(ends, "node").select("k1", "node"), "jaccard-ends")
+    segments = base.select("k1", "text").join(ends, "k1").mapInArrow(partial(_segments, size, cuts), "node long, fragment int, items binary")
+    segments = materialise(segments.groupBy("node", "fragment").agg(F.any_value("items").alias("items")), "jaccard-segments")
+    inside = segments.join(blocked, "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    inside = inside.select("lead", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "node", "block", "n", "fragment", "items")
+    inside = inside.repartition(parts, "lead", "one", "two").sortWithinPartitions("lead", "one", "two", "fragment").mapInArrow(partial(_clusters, percent), "a long, b long")
+    across = pairs.join(segments.select(F.col("node").alias("a"), "fragment", F.col("items").alias("x")), "a")
+    across = across.join(segments.select(F.col("node").alias("b"), "fragment", F.col("items").alias("y")), ["b", "fragment"])
+    across = across.select("a", "b", "na", "nb", "x", "y").mapInArrow(_partial, "a long, b long, na long, nb long, c long").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+    across = across.filter(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
     # rows that share an id are one node
-    same = full.filter("id is not null").groupBy("id").agg(F.min("sid").alias("a"), F.max("sid").alias("hi")).filter("a <> hi").select("id", "a")
-    same = full.join(same, "id").select("a", F.col("sid").alias("b"))
+    full = rows.filter("n > 0")
+    same = full.filter("id is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("hi")).filter("a <> hi").select("id", "a")
+    same = full.join(same, "id").select("a", F.col("node").alias("b"))
     labels = materialise(components(inside.unionByName(across).unionByName(same)), "jaccard-labels")
+    discard(nodes, blocked, pairs, ends, segments)
 
-    labelled = materialise(full.select("id", "n", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("id", "n", F.coalesce("label", "sid").alias("label")), "jaccard-rows")
-    smallest = materialise(labelled.groupBy("label").agg(F.min("id").alias("component_id")), "jaccard-smallest")
+    labelled = materialise(full.join(labels, "node", "left").select("id", "n", F.coalesce("label", "node").alias("label")), "jaccard-labelled")
+    smallest = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
     out = labelled.join(smallest, "label").select("id", "n", "component_id")
     out = out.unionByName(rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
@@ -316,9 +371,14 @@ def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     """The rows of ``docs``, with all their columns, of which one of each group of near duplicates stays: that of the smallest id.
 
     Rows that repeat that id count as copies: one of them stays. A row with a null id stays if nothing with an id is like it.
+    Columns of any name are carried along.
     """
     groups = jaccard_components(docs, size, percent, id_col, text_col)
-    stay = materialise(groups.filter(F.col("component_id").isNull() | (F.col(id_col) == F.col("component_id"))).select(F.col(id_col).alias("_stay")).distinct(), "jaccard-stay")
-    joined = docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay")), "left_semi")
-    twice = docs.groupBy(id_col).count().filter((F.col("count") > 1) & F.col(id_col).isNotNull())
-    return joined if twice.isEmpty() else joined.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(joined.filter(F.col(id_col).isNull()))
+    stay = groups.filter(F.col("component_id").isNull() | (F.col(id_col) == F.col("component_id"))).select(F.col(id_col).alias("stay")).distinct()
+    stay = materialise(stay, "jaccard-stay")
+    base = pack(docs, id=F.col(f"`{id_col}`"))
+    joined = base.join(stay, F.col("id").eqNullSafe(F.col("stay")), "left_semi")
+    twice = base.groupBy("id").count().filter((F.col("count") > 1) & F.col("id").isNotNull())
+    if not twice.isEmpty():
+        joined = joined.filter(F.col("id").isNotNull()).dropDuplicates(["id"]).unionByName(joined.filter(F.col("id").isNull()))
+    return unpack(joined)
