@@ -20,11 +20,12 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanveil.llm import batches as B
-from spanveil.session import materialise
+from spanveil.llm.carried import pack, unpack
+from spanveil.session import discard, materialise
 
 ORDER = 5
 #: More symbols than this to 100 words keep a text out of the model (not out of the result, which its perplexity decides).
@@ -111,10 +112,10 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             heads = np.flatnonzero(np.append(True, mine[1:] != mine[:-1])) if len(mine) else np.zeros(0, np.int64)
             held.append((mine[heads], np.diff(np.append(heads, len(mine))) * times))
             waiting += len(heads)
-        if waiting > 3_000_000:
+        if waiting > 1_500_000:
             held = [_merge(held)]
             waiting = len(held[0][0])
-            if waiting > 2_000_000:  # a task never holds more than this; Spark adds up the rest
+            if waiting > 1_000_000:  # a task never holds more than this; Spark adds up the rest
                 yield from send(*held.pop())
                 waiting = 0
     if held:
@@ -133,7 +134,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     types = {ORDER: counts.select("key", F.col("n").alias("a"))}
     for order in range(ORDER - 1, 0, -1):
         suffix = (F.shiftright("key", 8 * (order + 1)) * F.lit(1 << (8 * order)) + F.col("key").bitwiseAND(F.lit((1 << (8 * order)) - 1))).alias("key")
-        types[order] = types[order + 1].select(suffix, "a").groupBy("key").agg(F.count_if(F.col("a") > 0).alias("a"))
+        types[order] = materialise(types[order + 1].select(suffix, "a").groupBy("key").agg(F.count_if(F.col("a") > 0).alias("a")), "quality-types")
     lower = None
     for order in range(1, ORDER + 1):
         t = types[order].withColumn("lang", lang(F.col("key"), order)).withColumn("ctx", F.shiftright("key", 8))
@@ -164,18 +165,32 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         # an n-gram seen once takes its contribution to the lower order away with it
         below = F.when(F.col("a") == 1, F.col("q_left")).otherwise(F.col("q"))
         p = p.select("key", "a", (F.col("own") + F.col("rest") * F.col("q")).alias("p"), (F.col("own_left") + F.col("rest_left") * below).alias("p_left"))
-        lower = p.select(F.col("key").alias("back"), F.col("p").alias("q"), F.col("p_left").alias("q_left"))
+        # each order is written, so that no plan holds those below it
+        if order < ORDER:
+            now = materialise(p.select(F.col("key").alias("back"), F.col("p").alias("q"), F.col("p_left").alias("q_left")), "quality-lower")
+            discard(types[order], *([lower] if lower is not None else []))
+            lower = now
     return p.select("key", F.col("a").alias("n"), F.log("p").alias("logp"), F.log("p_left").alias("logp_left"))
 
 
+def _chunks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries in order → runs of one cell as bytes, so that the driver has nothing to sort or convert."""
+    for batch in it:
+        cell = batch.column("cell").to_numpy()
+        edges = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+        cols = [batch.column(c).to_numpy() for c in ("h", "logp", "logp_left")]
+        runs = [(a, b) for a, b in zip(edges, edges[1:], strict=False) if a < b]
+        yield pa.RecordBatch.from_arrays([pa.array([c[a:b].tobytes() for a, b in runs], pa.binary()) for c in cols], names=["h", "logp", "logp_left"])
+
+
 def sorted_hash_arrays(model: DataFrame, bits: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The part of the model whose hashes begin with the ``bits`` bits of ``block``: (hashes in order, logp, logp_left)."""
-    h = F.xxhash64("key")
-    mine = model.filter(F.shiftrightunsigned(h, 64 - bits) == block) if bits else model
-    rows = mine.select(h.alias("h"), F.col("logp").cast("float"), F.col("logp_left").cast("float")).toArrow()
-    hashes = rows.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], rows.column("logp").to_numpy()[order], rows.column("logp_left").to_numpy()[order]
+    mine = model.filter(F.shiftrightunsigned("h", 64 - bits) == block) if bits else model
+    cells = mine.withColumn("cell", F.shiftrightunsigned("h", 64 - bits - 5)).repartition(32, "cell").sortWithinPartitions("cell", "h").select("cell", "h", F.col("logp").cast("float"), F.col("logp_left").cast("float"))
+    rows = cells.mapInArrow(_chunks, "h binary, logp binary, logp_left binary").collect()
+    # runs don't overlap: the first hash of each puts them in order
+    rows.sort(key=lambda r: int(np.frombuffer(r["h"], np.uint64, 1)[0]))
+    return tuple(np.concatenate([np.zeros(0, t), *(np.frombuffer(r[c], t) for r in rows)]) for c, t in (("h", np.uint64), ("logp", np.float32), ("logp_left", np.float32)))
 
 
 _LAID_OUT: list = []
@@ -297,7 +312,8 @@ def quality(docs: DataFrame, reach: float = 4.0, min_words: int = 50, max_repeat
     texts = texts.mapInArrow(partial(_send_once, passes), "code int, h1 long, h2 long, text string, fitted boolean")
     texts = texts.repartition("h1", "h2", "code").sortWithinPartitions("h1", "h2", "code")
     counts = materialise(texts.mapInArrow(_count, _COUNTS).groupBy("key").agg(F.sum("n").alias("n")), "quality-counts")
-    model = materialise(kneser_ney(counts).select("key", "logp", "logp_left"), "quality-model")
+    model = materialise(kneser_ney(counts).select(F.xxhash64("key").alias("h"), "logp", "logp_left"), "quality-model")
+    discard(counts)
     bits = max(0, -(-model.count() // BLOCK_KEYS) - 1).bit_length()
     keyed = base.select("id", F.xxhash64("id", "text").alias("k1"), F.xxhash64("text", "id", F.lit(7)).alias("k2"), "code", "text")
     kind = base.schema["id"].dataType.simpleString()
@@ -320,9 +336,13 @@ def quality(docs: DataFrame, reach: float = 4.0, min_words: int = 50, max_repeat
     scored = scored.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"), min_words, max_repeat_percent))
     # equal texts of a language have equal figures, whatever else they hold: copies count once
     once = scored.filter("fitted").groupBy("code", "n_grams", "entropy").agg(F.count("*").alias("c"))
-    bands = once.groupBy("code").agg(F.percentile_approx("entropy", [0.25, 0.75], 1000).alias("q"))
-    wide = reach * (F.col("q")[1] - F.col("q")[0])
-    bands = bands.select(F.col("code").alias("bc"), (F.col("q")[0] - wide).alias("low"), (F.col("q")[1] + wide).alias("high"))
+    # quartiles of entropies to four digits: a bounded number of sums, and the same however the rows are dealt
+    bins = once.groupBy("code", F.round(F.col("entropy") * 10_000).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("code").orderBy("bin")) / F.sum("n").over(Window.partitionBy("code"))
+    quartile = lambda q: F.min(F.when(F.col("so_far") >= q, F.col("bin"))) / 10_000
+    bands = bins.withColumn("so_far", so_far).groupBy("code").agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
+    wide = reach * (F.col("q3") - F.col("q1"))
+    bands = bands.select(F.col("code").alias("bc"), (F.col("q1") - wide).alias("low"), (F.col("q3") + wide).alias("high"))
     # one row per language, of which there are fewer than 27**3
     out = scored.join(F.broadcast(bands), F.col("code") == F.col("bc"), "left")
     more = F.lit(3.0) / F.sqrt(F.greatest("n_grams", F.lit(1)))
@@ -332,8 +352,8 @@ def quality(docs: DataFrame, reach: float = 4.0, min_words: int = 50, max_repeat
 
 
 def reject(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **limits) -> DataFrame:
-    """The rows of ``docs``, all their columns, that ``quality`` keeps; repeated rows stay repeated."""
-    verdict = quality(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **limits).filter("kept").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_q1": F.xxhash64(F.col(id_col), text), "_q2": F.xxhash64(text, F.col(id_col), F.lit(7))})
-    return keyed.join(verdict, (F.col("_q1") == F.col("_k1")) & (F.col("_q2") == F.col("_k2")), "left_semi").drop("_q1", "_q2")
+    """The rows of ``docs``, all their columns whatever their names, that ``quality`` keeps; repeated rows stay repeated."""
+    verdict = quality(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **limits).filter("kept").select("k1", "k2").distinct()
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    keyed = pack(docs, k1=F.xxhash64(F.col(f"`{id_col}`"), text), k2=F.xxhash64(text, F.col(f"`{id_col}`"), F.lit(7)))
+    return unpack(keyed.join(verdict, ["k1", "k2"], "left_semi"))
