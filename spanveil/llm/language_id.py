@@ -1,30 +1,49 @@
 """Op 2: language identification, word first, with backoff to shorter and shorter character n-grams.
 
-Training reads a bounded number of labelled rows (``sample`` rows, those with the smallest hash of their id, and of each
-the words counted by Spark); the model keeps at most ``max_words`` words and ``max_grams`` n-grams, so its size, and with it
-what is broadcast, is bounded whatever the input. Prediction reads every whole text, in Arrow batches.
+Training reads a bounded number of labelled rows (``sample`` distinct rows, those with the smallest hash of their id), whole;
+the model holds what they hold, so its size, and with it what is broadcast, doesn't grow with the input. Prediction reads
+every whole text, in Arrow batches. ``words`` is the one definition of a word for both.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.llm.batches import tune
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: A letter and what letters and marks follow it.
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_LETTERS = re.compile(r"[^\W\d_]+")
 #: Longest character n-gram; a word stands between the marks < and >.
 ORDER = 4
 UNDETERMINED = "und"
 
 
+@cache
+def _odd() -> re.Pattern:
+    """Marks and numerals other than digits: only where one stands, ``_LETTERS`` isn't the same as ``_WORD``."""
+    hits = [c for c in range(0x110000) if unicodedata.category(chr(c)) in ("Mn", "Mc", "Me", "Nl", "No")]
+    breaks = [i for i in range(1, len(hits)) if hits[i] != hits[i - 1] + 1]
+    runs = zip([hits[0], *(hits[i] for i in breaks)], [*(hits[i - 1] for i in breaks), hits[-1]], strict=True)
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs) + "]")
+
+
+def words(text: str) -> list[str]:
+    low = text.lower()
+    return (_LETTERS if low.isascii() or not _odd().search(low) else _WORD).findall(low)
+
+
 @dataclass
 class Model:
     """Log frequencies per language of words and of n-grams: rows of ``table``, found by ``words`` and ``grams``."""
@@ -71,7 +90,7 @@ class Model:
         return self.table[found].mean(axis=0) if found else np.zeros(len(self.langs), np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(_WORD.findall(text.lower())) if text else None
+        counts = Counter(words(text)) if text else None
         if not counts or not self.langs:
             return UNDETERMINED, 0.0
         if len(self._rows) > 200_000:
@@ -88,30 +107,39 @@ class Model:
         return self.langs[best], float(odds[best] / odds.sum())
 
 
-def _log_rows(counts: pd.DataFrame, key: str, langs: list[str], most: int) -> tuple[dict[str, int], np.ndarray]:
+def _log_rows(counts: pd.DataFrame, key: str, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    if counts.empty:
+        return {}, np.zeros((0, len(langs)))
     at = {x: i for i, x in enumerate(langs)}
-    top = counts.groupby(key)["n"].sum().sort_index().sort_values(ascending=False, kind="stable").head(most).index
-    rows = {x: i for i, x in enumerate(top)}
-    counts = counts[counts[key].isin(rows)]
+    rows = {x: i for i, x in enumerate(sorted(counts[key].unique()))}
     table = np.full((len(rows), len(langs)), 0.5)
-    table[counts[key].map(rows).to_numpy(), counts["lang"].map(at).to_numpy()] += counts["n"].to_numpy()
-    return rows, np.log(table / table.sum(axis=0)) if len(rows) else table
+    np.add.at(table, (counts[key].map(rows).to_numpy(), counts["lang"].map(at).to_numpy()), counts["n"].to_numpy())
+    return rows, np.log(table / table.sum(axis=0))
 
 
-def train(docs: DataFrame, labelled: Column, sample: int = 4000, max_words: int = 60_000, max_grams: int = 60_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_langs: int = 200) -> Model:
-    """Fits the tables on at most ``sample`` rows for which ``labelled`` holds and the label and text are not null."""
+def _count_words(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in it:
+        counts = Counter((lang, w) for lang, t in zip(part["lang"], part["text"], strict=True) for w in words(t))
+        yield pd.DataFrame([(lang, w, n) for (lang, w), n in counts.items()], columns=["lang", "word", "n"])
+
+
+def train(docs: DataFrame, labelled: Column, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Fits the tables on at most ``sample`` rows for which ``labelled`` holds and the label and text are not null.
+
+    Rows equal in id, text and label count as one. A word met only once says nothing by itself, its n-grams do. Without a
+    labelled row, or a word in them, the model knows no language.
+    """
     tune(docs.sparkSession)
     some = docs.filter(labelled & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    some = some.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(id_col).alias("i"), F.col(text_col).alias("text"))
-    ids = some.select("h", "i", "lang").orderBy("h", "i", "lang").limit(sample)
-    edge = ids.agg(F.max("h").alias("h")).first()["h"]
-    if edge is None:
-        return Model([], {}, {}, np.zeros((0, 0), np.float32))
-    words = some.filter(F.col("h") <= edge).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("word"))
-    counted = words.groupBy("lang", "word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word", "lang").limit(4 * max_words).toPandas()
-    langs = sorted(counted["lang"].unique())[:max_langs]
-    counted = counted[counted["lang"].isin(langs)]
-    words_at, word_rows = _log_rows(counted[counted["n"] > 1], "word", langs, max_words)
+    text = F.col(text_col).cast("string")
+    some = some.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.xxhash64(text, F.col(id_col).cast("string")).alias("t"), text.alias("text"))
+    keys = ["h", "t", "lang"]
+    chosen = some.select(*keys).distinct().orderBy(*keys).limit(sample)
+    # at most ``sample`` rows
+    rows = some.join(F.broadcast(chosen), keys, "left_semi").groupBy(*keys).agg(F.first("text").alias("text")).select("lang", "text")
+    counted = rows.mapInPandas(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
+    langs = sorted(counted["lang"].unique())
+    words_at, word_rows = _log_rows(counted[counted.groupby("word")["n"].transform("sum") > 1], "word", langs)
     grams: Counter = Counter()
     for lang, word, n in counted[["lang", "word", "n"]].itertuples(index=False):
         marked = f"<{word}>"
@@ -119,17 +147,19 @@ def train(docs: DataFrame, labelled: Column, sample: int = 4000, max_words: int
             for i in range(len(marked) - size + 1):
                 grams[lang, marked[i : i + size]] += n
     frame = pd.DataFrame([(a, b, n) for (a, b), n in grams.items()], columns=["lang", "gram", "n"])
-    grams_at, gram_rows = _log_rows(frame, "gram", langs, max_grams)
+    grams_at, gram_rows = _log_rows(frame, "gram", langs)
     table = np.concatenate([word_rows, gram_rows]).astype(np.float32)
     # what all languages share says nothing: only the differences are kept
-    table -= table.mean(axis=1, keepdims=True)
+    if table.size:
+        table -= table.mean(axis=1, keepdims=True)
     return Model(langs, words_at, {x: i + len(word_rows) for x, i in grams_at.items()}, table)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred and score (0 to 1) of every row, from the whole text alone.
 
-    A text that is null, empty or without a letter gets ``und`` and 0; so does every text if nothing was labelled. Equal
+    A text that is null, empty or without a letter gets ``und`` and 0; so does every text if nothing was labelled. However
+    long a text or a word is, it is read whole. Equal
     texts get equal results; between languages that tie the first by name is taken. Null ids are carried along, other
     columns are not read, and an empty table gives an empty table.
     """
