@@ -31,6 +31,7 @@ MEMORY_PAIRS = 500_000
 #: Bytes of text that are encoded at once: the search for all pieces is paid once for as much.
 GROUP = 8_000_000
 _GAP = 0x10FFFF  # between segments; not a character of any text
+_STRANGE, _NOT = -1, -2  # what reaches a position in place of a piece: a character without one, nothing yet
 
 
 @dataclass
@@ -108,7 +109,7 @@ class Codec:
         inside = set("".join(v.rank))
         self.cuts = np.zeros(256, dtype=bool)  # white space that no piece holds stands by itself
         self.cuts[[ord(c) for c in "\n\t\x0b\x0c" if c not in inside]] = True
-        self.fits: dict[int, bool] = {}
+        self.fit_keys, self.fit_ok = np.zeros(0, np.int64), np.zeros(0, dtype=bool)
         self.short_runs: dict[int, list[int]] = {}
         self.forget()
         # for decoding: the bytes of each id, laid end to end
@@ -166,8 +167,27 @@ class Codec:
         p, q = self.v.pieces[a], self.v.pieces[b]
         return self.v.merge(p + q) == [p, q]
 
-    def _relax(self, segments: list[str]) -> list[list[int]]:
-        text = np.concatenate([np.append(np.frombuffer(s.encode("utf-32-le"), np.uint32).astype(np.int64), _GAP) for s in segments])
+    def _fit(self, keys: np.ndarray) -> np.ndarray:
+        """``_keep`` of pairs, each given as first * pieces + second; what a worker has found out it remembers."""
+        many = len(self.v.pieces)
+        pairs, inverse = np.unique(keys, return_inverse=True)
+        at = np.searchsorted(self.fit_keys, pairs)
+        new = np.ones(len(pairs), dtype=bool)
+        inside = at < len(self.fit_keys)
+        new[inside] = self.fit_keys[at[inside]] != pairs[inside]
+        ok = np.zeros(len(pairs), dtype=bool)
+        ok[~new] = self.fit_ok[at[~new]]
+        if new.any():
+            ok[new] = [self._keep(k // many, k % many) for k in pairs[new].tolist()]
+            if len(self.fit_keys) > MEMORY_PAIRS:
+                self.fit_keys, self.fit_ok = pairs[new], ok[new]
+            else:
+                self.fit_keys, self.fit_ok = np.insert(self.fit_keys, at[new], pairs[new]), np.insert(self.fit_ok, at[new], ok[new])
+        return ok[inverse]
+
+    def _relax(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all segments, how many each has): edges are relaxed by where they end, in all segments at once."""
+        text = np.frombuffer("".join(s + chr(_GAP) for s in segments).encode("utf-32-le"), np.uint32).astype(np.int64)
         order = self._suffix_array(text)
         lo, hi = self._ranges(text, order)
         counts = hi - lo
@@ -178,48 +198,64 @@ class Codec:
         single = np.zeros(len(text), dtype=bool)
         single[start[end == start + 1]] = True
         strange = np.flatnonzero(~single & (text != _GAP))
-        start, end, piece = np.append(start, strange), np.append(end, strange + 1), np.append(piece, np.full(len(strange), -1))
-        by = np.lexsort((start, end))
-        many = len(self.v.pieces)
-        reached: list[int | None] = [None] * (len(text) + 1)
-        origin = [0] * (len(text) + 1)
+        start, end, piece = np.append(start, strange), np.append(end, strange + 1), np.append(piece, np.full(len(strange), _STRANGE))
         bounds = np.flatnonzero(text == _GAP)
         firsts = np.append(0, bounds[:-1] + 1)
-        begins = set(firsts.tolist())
-        fits = self.fits
-        for s, e, p in (edge for i in range(0, len(by), 100_000) for edge in zip(*(x[by[i : i + 100_000]].tolist() for x in (start, end, piece)), strict=True)):
-            if reached[e] is not None:
-                continue
-            if s not in begins:
+        begins = np.zeros(len(text) + 1, dtype=bool)
+        begins[firsts] = True
+        many = len(self.v.pieces)
+        reached = np.full(len(text) + 1, _NOT, np.int64)
+        origin = np.zeros(len(text) + 1, np.int64)
+        place = end - np.repeat(firsts, bounds - firsts + 1)[start]  # how far into its segment an edge ends
+        by = np.lexsort((start, place))
+        rounds = np.flatnonzero(np.diff(place[by], prepend=-1))
+        if len(rounds) * 30 > len(by):  # a few very long segments: nothing to do side by side
+            self._one_by_one(*(x[by] for x in (start, end, piece)), begins, reached, origin)
+            rounds = rounds[:0]
+        for a, b in zip(rounds.tolist(), np.append(rounds[1:], len(by)).tolist(), strict=False):
+            some = by[a:b]
+            s, p = start[some], piece[some]
+            before = reached[s]
+            ok = begins[s] | (before != _NOT)
+            asked = np.flatnonzero(ok & ~begins[s] & (before >= 0) & (p >= 0))
+            ok[asked] = self._fit(before[asked] * many + p[asked])
+            here = some[ok][::-1]  # of several, the longest
+            reached[end[here]], origin[end[here]] = piece[here], start[here]
+        # back from the ends, all segments at once
+        left, at, found = np.arange(len(segments)), bounds.copy(), []
+        while len(left):
+            p = reached[at]
+            if (p == _NOT).any():
+                raise AssertionError("no way through a segment")
+            found.append((left, p, at))
+            at = origin[at]
+            more = at > firsts[left]
+            left, at = left[more], at[more]
+        of, ids, at = (np.concatenate([x[i] for x in found]) for i in range(3)) if found else (np.zeros(0, np.int64),) * 3
+        by = np.lexsort((at, of))
+        of, ids, at = of[by], ids[by], at[by]
+        if (ids == _STRANGE).any():
+            raw = [[self.bytes_at[x] for x in chr(text[i - 1]).encode()] if self.bytes_at else [self.unknown] for i in at[ids == _STRANGE].tolist()]
+            times = np.ones(len(ids), np.int64)
+            times[ids == _STRANGE] = [len(x) for x in raw]
+            of, ids = np.repeat(of, times), np.repeat(ids, times)
+            ids[ids == _STRANGE] = [x for r in raw for x in r]
+        return ids.astype(np.int32), np.bincount(of, minlength=len(segments))
+
+    def _one_by_one(self, start: np.ndarray, end: np.ndarray, piece: np.ndarray, begins: np.ndarray, reached: np.ndarray, origin: np.ndarray) -> None:
+        fits: dict[tuple[int, int], bool] = {}
+        for i in range(0, len(start), 100_000):
+            for s, e, p in zip(*(x[i : i + 100_000].tolist() for x in (start, end, piece)), strict=True):
                 before = reached[s]
-                if before is None:
+                if reached[e] != _NOT or (before == _NOT and not begins[s]):
                     continue
-                if p >= 0 and before >= 0:
-                    key = before * many + p
-                    ok = fits.get(key)
-                    if ok is None:
-                        if len(fits) > MEMORY_PAIRS:
-                            fits.clear()
-                        ok = fits[key] = self._keep(before, p)
-                    if not ok:
+                if before >= 0 and p >= 0 and not begins[s]:
+                    key = int(before), p
+                    if key not in fits:
+                        fits[key] = self._keep(*key)
+                    if not fits[key]:
                         continue
-            reached[e] = p
-            origin[e] = s
-        out = []
-        for a, b in zip(firsts.tolist(), bounds.tolist(), strict=True):
-            ids: list[int] = []
-            while b > a:
-                p = reached[b]
-                if p is None:
-                    raise AssertionError("no way through a segment")
-                if p >= 0:
-                    ids.append(p)
-                else:
-                    raw = chr(text[b - 1]).encode()
-                    ids += [self.bytes_at[x] for x in reversed(raw)] if self.bytes_at else [self.unknown]
-                b = origin[b]
-            out.append(ids[::-1])
-        return out
+                reached[e], origin[e] = p, s
 
     def _run(self, n: int) -> list[int]:
         """Ids of n space marks; all their merges have one score and so go from the left."""
@@ -229,33 +265,37 @@ class Codec:
             self.short_runs[rest] = [self.v.rank[p][1] for p in self.v.merge(MARK * rest)]
         return [self.v.rank[MARK * longest][1]] * full + self.short_runs[rest]
 
-    def ids_of(self, new: list[str]) -> list[list[int]]:
-        """The ids of segments; of several leading marks all but the last are a run of their own, unless that one stays alone too."""
-        tails: dict[str, list[int]] = {}
-        wanted = list(dict.fromkeys(s if not s.startswith(MARK * 2) else MARK + s.lstrip(MARK) for s in new))
+    def ids_of(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all segments, how many each has)."""
+        parts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        # of several leading marks all but the last are a run of their own, unless that one stays alone too
+        tails = [MARK + s.lstrip(MARK) if s.startswith(MARK * 2) else s for s in segments]
         at = 0
-        while at < len(wanted):
+        while at < len(tails):
             size, first = 0, at
-            while at < len(wanted) and (size == 0 or size + len(wanted[at]) < INDEX_CHARS):
-                size += len(wanted[at]) + 1
+            while at < len(tails) and (size == 0 or size + len(tails[at]) < INDEX_CHARS):
+                size += len(tails[at]) + 1
                 at += 1
-            tails |= zip(wanted[first:at], self._relax(wanted[first:at]), strict=True)
+            ids, n = self._relax(tails[first:at])
+            parts.append(ids)
+            sizes.append(n)
+        ids, n = np.concatenate(parts), np.concatenate(sizes)
+        runs = [i for i, s in enumerate(segments) if s.startswith(MARK * 2)]
+        if not runs:
+            return ids, n
         alone = self.v.rank.get(MARK, (0, -1))[1]
-        out = []
-        for s in new:
-            ids = tails[s if not s.startswith(MARK * 2) else MARK + s.lstrip(MARK)]
-            if s.startswith(MARK * 2):
-                marks = len(s) - len(s.lstrip(MARK))
-                ids = self._run(marks) + ids[1:] if ids[0] == alone else self._run(marks - 1) + ids
-            out.append(ids)
-        return out
+        each = np.split(ids, np.cumsum(n)[:-1])
+        for i in runs:
+            marks = len(segments[i]) - len(segments[i].lstrip(MARK))
+            whole = int(each[i][0] == alone)
+            each[i] = np.append(np.array(self._run(marks if whole else marks - 1), np.int32), each[i][whole:])
+        return np.concatenate(each), np.array([len(x) for x in each])
 
     def learn(self, hashes: np.ndarray, segments: list[str]) -> None:
         """Remembers the ids of new segments, given with their hashes."""
-        found = self.ids_of(segments)
-        sizes = np.array([len(x) for x in found], np.int64)
+        ids, sizes = self.ids_of(segments)
         starts = len(self.flat) + np.cumsum(sizes) - sizes
-        self.flat = np.concatenate([self.flat, *(np.array(x, np.int32) for x in found)])
+        self.flat = np.concatenate((self.flat, ids))
         self.chars += sum(map(len, segments))
         known = np.concatenate((self.known, hashes))
         order = np.argsort(known, kind="stable")
@@ -305,7 +345,7 @@ class Codec:
             mine, want = ids[offs[i] : offs[i + 1]], x.wide[x.offs[i] : x.offs[i + 1]]
             ok = np.array_equal(self._bytes(mine), want)
             if not ok:  # two segments with one hash, or a vocabulary that can't give every text back
-                mine = np.array([p for ids in self.ids_of([x.text(k) for k in range(x.firsts[i], x.firsts[i + 1])]) for p in ids], np.int32)
+                mine = self.ids_of([x.text(k) for k in range(x.firsts[i], x.firsts[i + 1])])[0]
                 ok = np.array_equal(self._bytes(mine), want)
             parts.append(mine)
             same.append(ok)
