@@ -1,13 +1,17 @@
 """Op 7 [native]: personal data, and terms that reveal it by information content.
 
-Base kinds are found by pattern, with positions. Their values are the protected entities. A term (a word beside an entity on
-its line) reveals an entity by their pointwise mutual information over the corpus,
+Base kinds are found by pattern, with positions. So are secrets, runs of letters and digits of so much information of their
+own (``SECRET_LENGTH`` characters or more of both sorts) that they are keys rather than words. What is found are the protected
+entities, each at three levels, as exact values seldom recur: the value, what it belongs to (mail domain, network, card issuer,
+number block), and its kind. A term (a word beside an entity on its line) reveals an entity by their pointwise mutual
+information over the corpus,
 
     PMI(e; t) = log2( n(t, e) * N / (n(t) * n(e)) )    against    IC(e) = -log2( n(e) / N ),
 
-with n(t, e) texts where t stands beside e, n(t) texts with t anywhere, n(e) texts with e and N texts. PMI equals IC where
-the term never stands without the entity. Terms with PMI >= ``share`` * IC and n(t, e) >= ``support`` exceed the disclosure
-threshold: where they stand beside the entity they become spans of the kind ``term``, and are removed with it.
+with n(t, e) texts where t stands beside e, n(t) texts with t anywhere, n(e) texts with e and N texts, each distinct text
+counted once. PMI equals IC where the term never stands without the entity. Terms with PMI >= ``share`` * IC for an entity of
+any level and n(t, e) >= ``support`` exceed the disclosure threshold: wherever they stand, in any text, they become spans of
+the kind ``term`` and are removed like the entities themselves.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 WORD = r"[\p{L}\p{M}\p{N}_]+"
+SECRET_LENGTH = 20
+SECRET = rf"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{{{SECRET_LENGTH},}}+"
 #: Characters to either side of an entity in which terms are looked for.
 REACH = 60
 
@@ -44,12 +50,13 @@ def _valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
+_SPAN = "array<struct<kind:string,s:int,e:int,value:string>>"
 KINDS = (("email", EMAIL, "@"), ("ip", IP, "."), ("card", CARD, None), ("phone", PHONE, "+"))
 
 
 def base_spans(text: Column) -> Column:
     """``array<struct<kind, s, e, value>>`` of the four kinds, in that order and then by start."""
-    none = F.array().cast("array<struct<kind:string,s:int,e:int,value:string>>")
+    none = F.array().cast(_SPAN)
 
     def of(kind: str, pattern: str, mark: str | None) -> Column:
         some = F.filter(find_spans(text, pattern), lambda x: _valid(kind, x["value"]))
@@ -59,6 +66,13 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(of(*k) for k in KINDS))
 
 
+def secret_spans(text: Column, others: Column) -> Column:
+    """As ``base_spans``: secrets that overlap none of the others."""
+    free = F.filter(find_spans(text, SECRET), lambda x: ~F.exists(others, lambda o: (o["s"] < x["e"]) & (x["s"] < o["e"])))
+    rows = F.transform(free, lambda x: F.struct(F.lit("secret").alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["value"].alias("value")))
+    return F.when(text.rlike(f"[A-Za-z0-9]{{{SECRET_LENGTH}}}"), rows).otherwise(F.array().cast(_SPAN))
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
@@ -75,53 +89,66 @@ def _terms_beside(text: Column, s: Column, e: Column) -> Column:
     return F.concat(F.filter(left, lambda x: x["e"] < s), F.filter(right, lambda x: x["s"] > e))
 
 
-def _entity(kind: Column, value: Column) -> Column:
-    return F.concat(kind, F.lit(":"), F.when(kind.isin("card", "phone"), _digits(value)).otherwise(F.lower(value)))
+def _entities(kind: Column, value: Column) -> Column:
+    """The three levels of an entity: its value, what that belongs to, its kind."""
+    low, digits = F.lower(value), _digits(value)
+    exact = F.when(kind.isin("card", "phone"), digits).when(kind == "secret", value).otherwise(low)
+    group = F.when(kind == "email", F.substring_index(low, "@", -1)).when(kind == "ip", F.substring_index(low, ".", 2)).when(kind == "card", F.substring(digits, 1, 6)).when(kind == "phone", F.substring(digits, 1, 4)).otherwise(F.length(value).cast("string"))
+    return F.array(F.concat(kind, F.lit("="), exact), F.concat(kind, F.lit("~"), group), kind)
 
 
 def detect(docs: DataFrame, share: float = 0.9, support: int = 3, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """n_email, n_ip, n_card, n_phone, base_sha256, n_term, spans and, with ``keep_text``, clean_text for every row.
+    """n_email, n_ip, n_card, n_phone, base_sha256, n_secret, n_term, n_spans, spans and, with ``keep_text``, clean_text for
+    every row.
 
-    ``spans`` is kind:start:end of the base kinds in their order and of the terms, comma-joined; in clean_text base spans
-    become their kind in brackets and terms ``[term]`` (overlapping spans one bracket, of the first). Null texts are
-    empty and have no spans. Repeated rows have equal results and count once in the statistics. Null ids are carried
-    along; other columns are not read. An empty table gives an empty table.
+    ``spans`` is kind:start:end of the base kinds in their order, of secrets and of terms, comma-joined; terms and secrets
+    overlap none of those before. In clean_text spans become their kind in brackets (overlapping base spans one bracket, of
+    the first). Null texts are empty and have no spans. Repeated rows have equal results and count once in the statistics.
+    Null ids are carried along; other columns are not read. An empty table gives an empty table.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    keyed = base.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64("text", F.lit(7))})
-    found = keyed.withColumn("base", F.when(F.col("text").rlike("[0-9@]"), base_spans(F.col("text"))).otherwise(F.array().cast("array<struct<kind:string,s:int,e:int,value:string>>")))
-    beside = F.transform("base", lambda x: F.struct(_entity(x["kind"], x["value"]).alias("entity"), _terms_beside(F.col("text"), x["s"], x["e"]).alias("terms")))
-    rows = materialise(found.select("id", "k1", "k2", "base", beside.alias("beside")), "personal-rows")
-
-    near = rows.select("k1", "k2", F.explode("beside").alias("b")).select("k1", "k2", F.col("b.entity").alias("entity"), F.explode_outer("b.terms").alias("t"))
-    near = materialise(near.select("k1", "k2", "entity", F.lower("t.value").alias("term"), F.col("t.s").alias("s"), F.col("t.e").alias("e")).distinct(), "personal-near")
-    together = near.filter("term is not null").select("k1", "k2", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
-    together = materialise(together, "personal-together")
+    keyed = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64("text", F.lit(7))})
+    found = keyed.withColumn("base", F.when(F.col("text").rlike("[0-9@]"), base_spans(F.col("text"))).otherwise(F.array().cast(_SPAN)))
+    found = found.withColumn("secrets", F.when(F.col("text").rlike("[0-9]"), secret_spans(F.col("text"), F.col("base"))).otherwise(F.array().cast(_SPAN)))
+    beside = F.transform(F.concat("base", "secrets"), lambda x: F.struct(_entities(x["kind"], x["value"]).alias("entities"), F.array_distinct(F.transform(_terms_beside(F.col("text"), x["s"], x["e"]), lambda t: F.lower(t["value"]))).alias("terms")))
+    rows = materialise(found.select("id", "k1", "k2", "base", "secrets", beside.alias("beside")), "personal-rows")
+
+    near = rows.select("k1", "k2", F.explode("beside").alias("b")).select("k1", "k2", F.explode("b.entities").alias("entity"), "b.terms")
     entities = near.select("k1", "k2", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    together = near.select("k1", "k2", "entity", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
+    together = materialise(together, "personal-together")
     # each distinct text once, as in the other two counts
-    words = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text")).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    known = words.groupBy("term").agg(F.count("*").alias("n_t")).join(together.select("term").distinct(), "term", "left_semi")
-    total = rows.select("k1", "k2").distinct().count()
+    each = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    words = each.select("k1", "k2", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
+    known = words.join(together.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    total = float(max(rows.select("k1", "k2").distinct().count(), 1))
     scored = together.join(entities, "entity").join(known, "term")
-    content = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
-    mutual = F.log2(F.col("n_te") * F.lit(float(max(total, 1))) / (F.col("n_t") * F.col("n_e")))
-    telling = materialise(scored.filter(mutual >= share * content).select("entity", "term"), "personal-telling")
-
-    terms = near.join(telling, ["entity", "term"]).select("k1", "k2", F.struct(F.lit("term").alias("kind"), "s", "e").alias("x")).distinct()
-    terms = terms.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("x")).alias("terms"))
-    none = F.array().cast("array<struct<kind:string,s:int,e:int>>")
-    out = rows.select("id", "k1", "k2", F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"))).alias("base"))
-    out = out.join(terms, ["k1", "k2"], "left").withColumn("terms", F.coalesce("terms", none))
+    content = F.log2(F.lit(total) / F.col("n_e"))
+    mutual = F.log2(F.col("n_te") * F.lit(total) / (F.col("n_t") * F.col("n_e")))
+    telling = materialise(scored.filter(mutual >= share * content).select("term").distinct(), "personal-telling")
+
+    # wherever a telling term stands
+    hold = words.join(telling, "term").groupBy("k1", "k2").agg(F.collect_set("term").alias("telling"))
+    hold = materialise(hold, "personal-holding")
+    places = keyed.join(hold, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    hits = F.filter(find_spans(F.col("text"), WORD), lambda x: F.array_contains("telling", F.lower(x["value"])))
+    places = places.select("k1", "k2", F.transform(hits, lambda x: F.struct(F.lit("term").alias("kind"), x["s"].alias("s"), x["e"].alias("e"))).alias("terms"))
+    places = materialise(places, "personal-places")
+
+    bare = lambda c: F.transform(c, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+    out = rows.select("id", "k1", "k2", bare("base").alias("base"), bare("secrets").alias("secrets")).join(places, ["k1", "k2"], "left")
+    free = F.filter("terms", lambda x: ~F.exists(F.concat("base", "secrets"), lambda o: (o["s"] < x["e"]) & (x["s"] < o["e"])))
+    out = out.withColumn("terms", F.coalesce(free, F.array().cast("array<struct<kind:string,s:int,e:int>>")))
     of = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     counts = [of(k) for k, _, _ in KINDS]
-    every = F.concat("base", "terms")
-    result = out.select("id", "k1", "k2", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), F.size("terms").cast("long").alias("n_term"), _joined(every).alias("spans"), every.alias("all"))
+    every = F.concat("base", "secrets", "terms")
+    more = [F.size(F.col(c)).cast("long").alias(f"n_{c[:-1]}") for c in ("secrets", "terms")] + [F.size(every).cast("long").alias("n_spans")]
+    result = out.select("id", "k1", "k2", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), *more, _joined(every).alias("spans"), every.alias("all"))
+    columns = [*(f"n_{k}" for k, _, _ in KINDS), "base_sha256", "n_secret", "n_term", "n_spans", "spans"]
     if keep_text:
         result = materialise(result, "personal-result").dropDuplicates(["k1", "k2"]).drop("id").join(keyed, ["k1", "k2"], "right")
-        result = result.withColumn("clean_text", cut_out(F.col("text"), F.col("all")))
-        return result.select(F.col("id").alias(id_col), *(f"n_{k}" for k, _, _ in KINDS), "base_sha256", "n_term", "spans", "clean_text")
-    return result.select(F.col("id").alias(id_col), *(f"n_{k}" for k, _, _ in KINDS), "base_sha256", "n_term", "spans")
+        return result.select(F.col("id").alias(id_col), *columns, cut_out(F.col("text"), F.col("all")).alias("clean_text"))
+    return result.select(F.col("id").alias(id_col), *columns)
 
 
 def cut_out(text: Column, spans: Column) -> Column:

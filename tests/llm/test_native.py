@@ -30,29 +30,36 @@ def brute_base(text):
     return out
 
 
+def brute_secrets(text, base):
+    out = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9]+", text) if m.end() - m.start() >= 20 and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    return [x for x in out if not any(s < x[1] and x[0] < e for _, s, e, _ in base)]
+
+
 def brute_terms(texts, share, support, reach=60):
+    texts = sorted(set(texts))
     base = {t: brute_base(t) for t in texts}
+    secrets = {t: brute_secrets(t, base[t]) for t in texts}
     near, with_entity, with_term = defaultdict(set), defaultdict(set), Counter()
-    places = defaultdict(set)
     for t in texts:
         with_term.update({w.lower() for w in re.findall(r"\w+", t)})
-        for kind, s, e, v in base[t]:
-            entity = (kind, re.sub("[^0-9]", "", v) if kind in ("card", "phone") else v.lower())
-            with_entity[entity].add(t)
+        for kind, s, e, v in base[t] + [("secret", s, e, t[s:e]) for s, e in secrets[t]]:
+            d = re.sub("[^0-9]", "", v)
+            exact = {"card": d, "phone": d, "secret": v}.get(kind, v.lower())
+            group = {"email": v.lower().rsplit("@")[-1], "ip": ".".join(v.split(".")[:2]), "card": d[:6], "phone": d[:4], "secret": len(v)}[kind]
             lo, hi = t.rfind("\n", 0, s) + 1, t.find("\n", e) if "\n" in t[e:] else len(t)
-            for m in re.finditer(r"\w+", t):
-                left = lo <= m.start() and m.end() < s and (m.start() > s - reach or s <= reach or lo > s - reach) and m.start() >= s - reach
-                right = m.start() > e and m.end() <= hi and (m.end() < e + reach or (m.end() <= e + reach and len(t) <= e + reach))
-                if left or right:
-                    near[entity, m[0].lower()].add(t)
-                    places[entity, m[0].lower()].add((t, m.start(), m.end()))
-    out = defaultdict(set)
+            for entity in ((kind, 1, exact), (kind, 2, group), (kind, 3)):
+                with_entity[entity].add(t)
+                for m in re.finditer(r"\w+", t):
+                    left = lo <= m.start() and m.end() < s and (m.start() > s - reach or s <= reach or lo > s - reach) and m.start() >= s - reach
+                    right = m.start() > e and m.end() <= hi and (m.end() < e + reach or (m.end() <= e + reach and len(t) <= e + reach))
+                    if left or right:
+                        near[entity, m[0].lower()].add(t)
     n = len(texts)
-    for (entity, term), where in near.items():
-        n_te, n_e, n_t = len(where), len(with_entity[entity]), with_term[term]
-        if n_te >= support and math.log2(n_te * n / (n_t * n_e)) >= share * math.log2(n / n_e):
-            for t, s, e in places[entity, term]:
-                out[t].add((s, e))
+    telling = {w for (entity, w), where in near.items() if len(where) >= support and math.log2(len(where) * n / (with_term[w] * len(with_entity[entity]))) >= share * math.log2(n / len(with_entity[entity]))}
+    out = {}
+    for t in texts:
+        taken = [(s, e) for _, s, e, _ in base[t]] + secrets[t]
+        out[t] = [(m.start(), m.end()) for m in re.finditer(r"\w+", t) if m[0].lower() in telling and not any(s < m.end() and m.start() < e for s, e in taken)]
     return out
 
 
@@ -65,6 +72,8 @@ def texts():
         out.append(rng.choice([" ", "\n", ", "]).join(rng.choice(words + hits) for _ in range(rng.randint(0, 30))))
     for i in range(6):
         out.append(f"lead{i} see secretword{i % 2} near who@corp.example now {i} " + " ".join(rng.choice(words) for _ in range(5)))
+        out.append(f"Key{'' if i else 's'} token = {'ab12' * 6}{i} end {rng.choice(words)}, netword 10.7.{i}.9 far\nbut x12" + "y" * 30)
+    out += ["a token and Secretword1 elsewhere", "q" * 30 + " and " + "7" * 30]
     return sorted(set(out))
 
 
@@ -79,8 +88,10 @@ def test_personal_data_equals_brute_force(spark):
         want = ",".join(f"{k}:{s}:{e}" for k, s, e, _ in base)
         assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest(), t
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(b[0] == k for b in base) for k in KINDS)
-        assert r.spans == ",".join([*([want] if want else []), *(f"term:{s}:{e}" for s, e in sorted(terms[t]))])
-        if not base:
+        secrets = brute_secrets(t, base)
+        assert r.spans == ",".join([*([want] if want else []), *(f"secret:{s}:{e}" for s, e in secrets), *(f"term:{s}:{e}" for s, e in terms[t])])
+        assert (r.n_secret, r.n_term, r.n_spans) == (len(secrets), len(terms[t]), len(base) + len(secrets) + len(terms[t]))
+        if not r.n_spans:
             assert r.clean_text == t
         assert not any(v in r.clean_text for k, _, _, v in base if k == "email")
 
@@ -159,5 +170,11 @@ def test_copies_count_once_in_all_counts(spark):
     rows = [f"x{i} secretword who@corp.example" for i in range(3)] + [f"filler{i} only" for i in range(20)] + ["secretword elsewhere"]
     spans = lambda texts: {r.doc_id: r.spans for r in detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), share=0.8, keep_text=False).collect()}
     once, often = spans(rows), spans(rows + [rows[-1]] * 29)
-    assert once[0] == "email:14:30,term:3:13"
+    assert once[0] == "email:14:30,term:3:13" and once[23] == "term:0:10"
     assert {i: often[i] for i in once} == once
+
+
+def test_terms_are_found_on_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = detect(docs, keep_text=False).agg({"n_secret": "sum", "n_term": "sum"}).first()
+    assert got[0] > 10 and got[1] > 10
