@@ -5,7 +5,8 @@ cell of its hash and belongs to the next virtual node clockwise. Only the number
 numbers, whatever the input) goes to the driver. There the bounded loads are settled: rows that find their shard full
 continue clockwise to the next virtual node whose shard has room. The outcome is a table of (cell, ranks, shard, first
 slot) pieces, one per cell and at most two more per shard, so it is broadcast; rows find their piece by their rank
-within the cell. No text is shuffled.
+within the cell. A cell that many rows fall into, equal ones included, is ranked in ``SALTS`` parts whose sizes are added up.
+No text is shuffled.
 """
 
 from __future__ import annotations
@@ -13,7 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanveil.session import materialise
+
 CELLS = 1 << 14
+#: Parts in which a cell's rows are ranked.
+SALTS = 64
 
 
 def _scramble(x: int) -> int:
@@ -97,8 +102,8 @@ def shard(docs: DataFrame, shards: int = 40, replicas: int = 64, id_col: str = "
 
     Returns id, size (UTF-8 bytes of the text and 16), text_crc32, law, shard, slot (0, 1, ... within the shard) and
     grown_shard (null under this law). Null texts count as empty; rows with a null or repeated id are rows like others,
-    told apart by their text; rows equal in both take neighbouring slots, in any order, as nothing tells them apart.
-    An empty table gives an empty table. Columns other than the two named are not read.
+    told apart by their text; rows equal in both take slots of their cell in any order, as nothing tells them apart. However
+    long a text is, it counts whole. An empty table gives an empty table. Columns other than the two named are not read.
     """
     if shards < 1 or shards * replicas > CELLS:
         raise ValueError(f"between 1 and {CELLS} virtual nodes")
@@ -106,12 +111,18 @@ def shard(docs: DataFrame, shards: int = 40, replicas: int = 64, id_col: str = "
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("_id"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
     base = base.withColumn("_hash", F.xxhash64("_id", "text_crc32")).withColumn("_cell", F.pmod(F.shiftrightunsigned("_hash", 20), F.lit(CELLS)).cast("int"))
-    counts = {r["_cell"]: r["count"] for r in base.groupBy("_cell").count().collect()}
+    # written once, so that a row's part of its cell stays what it is when a task is run again
+    base = materialise(base.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")), "sharding-rows")
+    sizes = materialise(base.groupBy("_cell", "_salt").count(), "sharding-sizes")
+    counts = {r["_cell"]: r["n"] for r in sizes.groupBy("_cell").agg(F.sum("count").alias("n")).collect()}
     pieces = spark.createDataFrame(settle(counts, shards, replicas), "_at int, _first long, _end long, shard int, _slot long")
     if pieces.count() > CELLS + 2 * shards:
         raise AssertionError("more pieces than the ring can have")
-    order = Window.partitionBy("_cell").orderBy("_hash", "_id", "text_crc32", "size")
-    ranked = base.withColumn("_rank", F.row_number().over(order).cast("long") - 1)
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("_cell").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # CELLS * SALTS rows at most
+    offsets = sizes.select("_cell", "_salt", before.alias("_before"))
+    order = Window.partitionBy("_cell", "_salt").orderBy("_hash", "_id", "text_crc32", "size")
+    ranked = base.withColumn("_rank", F.row_number().over(order)).join(offsets, ["_cell", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_rank") - 1)
     out = ranked.join(F.broadcast(pieces), (F.col("_cell") == F.col("_at")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end")))
     return out.select(
         F.col("_id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("_slot") + F.col("_rank") - F.col("_first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")

@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from spanveil.llm.sharding import CELLS, ring, settle, shard
 
 
@@ -47,3 +49,39 @@ def test_rows(spark):
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in out) == want
     assert {r.law for r in out} == {"rows"} and {r.grown_shard for r in out} == {None}
     assert shard(df.limit(0), 8).collect() == []
+
+
+def brute(cells, shards, replicas):
+    """(cell, shard) of every row, one row after the other: first those that fit their own shard, then the rest clockwise."""
+    nodes = ring(shards, replicas)
+    at = lambda cell: next((i for i, (c, _) in enumerate(nodes) if c >= cell), 0)
+    own = Counter(nodes[at(c)][1] for c in cells)
+    least, more = divmod(len(cells), shards)
+    room = {s: least for s in range(shards)}
+    for s in sorted(range(shards), key=lambda s: (-own[s], s))[:more]:
+        room[s] += 1
+    out, waiting = Counter(), []
+    for c in sorted(cells):
+        s = nodes[at(c)][1]
+        if room[s]:
+            room[s] -= 1
+            out[c, s] += 1
+        else:
+            waiting.append(c)
+    for c in waiting:
+        i = at(c)
+        while not room[nodes[i % len(nodes)][1]]:
+            i += 1
+        room[nodes[i % len(nodes)][1]] -= 1
+        out[c, nodes[i % len(nodes)][1]] += 1
+    return out
+
+
+def test_equals_brute_force(spark):
+    rows = [(i, f"text {i % 37}", "x") for i in range(400)] + [(5, "copy", "y")] * 300 + [(9, "long " * 100_000, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _cell string").repartition(4)
+    out = shard(df, 7, 16)
+    cell = F.pmod(F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32"), 20), F.lit(CELLS)).cast("int")
+    got = out.withColumn("cell", cell).collect()
+    assert Counter((r.cell, r.shard) for r in got) == brute([r.cell for r in got], 7, 16)
+    assert sorted((r.shard, r.slot) for r in got) == [(s, i) for s in range(7) for i in range(Counter(r.shard for r in got)[s])]
