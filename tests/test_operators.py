@@ -209,3 +209,20 @@ def test_scan_documents_errors(spark):
     df = spark.createDataFrame([(1, "a@b.co"), (2, None), (3, "x" * 50)], "id int, text string")
     got = {r.id: (len(r.findings), r.scan_error) for r in scan_documents(df, max_chars=40).collect()}
     assert got == {1: (1, None), 2: (0, "no text"), 3: (0, "text too long")}
+
+
+def test_stores_of_rows(spark, tmp_path):
+    from spanveil.operators import oversight as O
+
+    rows = spark.createDataFrame([("a", "ann", None, "2024-01-02 00:00:00"), ("b", " ann ", "x", "2024-01-03 00:00:00"), ("c", "bob", "", "2024-01-01 00:00:00"), ("d", "ann", " ", "2024-01-09 00:00:00")], "id string, uploaded_by string, deleted_at string, uploaded_at string")
+    ids = lambda df: [r.id for r in df.collect()]
+    assert ids(O.visible_rows(rows, "ann")) == ["d", "a"] and ids(O.visible_rows(rows, "ann", include_deleted=True)) == ["d", "b", "a"] and ids(O.visible_rows(rows, " ")) == []
+    now = F.lit("2024-01-03 00:30:00").cast("timestamp")
+    assert sorted(ids(O.expired_rows(rows, now, 24.0))) == ["a", "c"] and sorted(ids(O.expired_rows(rows, now, 0.5))) == ["a", "c"]
+    facts = spark.createDataFrame([("x/1", "f1", 0.5), ("x1", "f2", 0.7), ("", "f3", 0.9)], "tenant_id string, fact_id string, confidence_value double")
+    path = str(tmp_path / "facts")
+    O.write_facts(facts, path)
+    schema = "fact_id string, confidence_value double, tenant_id string"
+    assert sorted(r.fact_id for r in O.read_facts(spark, path, schema, "x1").collect()) == ["f1", "f2"] and O.read_facts(spark, path, schema).count() == 3
+    released = O.release_records(spark.sql("SELECT '' AS tenant_id, named_struct('basis', 'a') AS details"), now).first()
+    assert released.timestamp == "2024-01-03T00:30:00Z" and released.tenant_id is None and released.details.basis == "a"
