@@ -32,13 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where none is set (tests), an own temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in ``spark.checkpoint.dir``. Where none is set, a local session (tests) gets a temporary one; a cluster
+    doesn't, as its machines don't share such a folder."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        known = spark.sparkContext.getCheckpointDir()
-        at = known or f"file://{tempfile.mkdtemp(prefix='spanveil-')}"
-        if not known:
-            spark.sparkContext.setCheckpointDir(at)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='spanveil-')}"
+        spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
