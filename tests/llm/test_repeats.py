@@ -61,3 +61,21 @@ def test_empty_and_null(spark):
     assert substring_dedup(df).collect() == []
     df = spark.createDataFrame([(None, "a b"), (None, None), (1, None)], "doc_id long, text string")
     assert sorted((r.n_bytes, r.n_removed) for r in suffix_array_dedup(df).collect()) == [(0, 0), (0, 0), (3, 0)]
+
+
+@pytest.mark.parametrize(("unit", "width", "f"), [("words", 35, substring_dedup), ("bytes", 400, suffix_array_dedup)])
+def test_rows_equal_in_id_and_text_and_very_long_ones(spark, unit, width, f):
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(30_000))
+    part = " ".join(long.split(" ")[1000:1100])
+    texts = [long, f"before {part} after", part * 1, "ab " * 40_000, "short"]
+    rows = [(1, texts[0]), (2, texts[1]), (3, texts[2]), (3, texts[2]), (4, texts[3]), (5, texts[4]), (5, texts[4])]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, k1 int, spans int")
+    n = "n_words" if unit == "words" else "n_bytes"
+    got = sorted((r.doc_id, r[n], r.n_removed) for r in f(df, width=width).collect())
+    size = lambda t: len(t.split()) if unit == "words" else len(t)
+    assert [(i, k) for i, k, _ in got] == sorted((i, size(t)) for i, t in rows)
+    removed = [r for _, _, r in got]
+    covered = size(part)
+    assert removed[0] == pytest.approx(covered, abs=3 if unit == "bytes" else 0) and removed[1] >= covered
+    assert removed[2] == removed[3] == covered and removed[4] == size(texts[3]) and removed[5:] == [0, 0]
