@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanveil.operators import oversight as O
+from spanveil.operators.routing import MARKERS, languages_for
 from spanveil.plans.catalogue import ORACLES, query
 from spanveil.plans.decisions import quoted
 from spanveil.session import table
@@ -127,3 +128,17 @@ def semantic_merge(spark: SparkSession, sf: str) -> DataFrame:
 def tenant_keys(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.when(F.col("c_custkey") % 7 == 0, " /?").otherwise(F.concat("c_name", F.lit("/"), "c_mktsegment", F.lit("."), F.repeat(F.lit("ä-x_"), (F.col("c_custkey") % 30).cast("int"))))
     return table(spark, sf, "customer").select("c_custkey", O.tenant_key(raw).alias("tenant"))
+
+
+def _marks(language: str) -> str:
+    return f"len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+'), lambda w: w IN ({', '.join(map(quoted, MARKERS[language]))})))"
+
+
+@query(
+    "q_language_routing",
+    f"""SELECT doc_id, array_to_string(CASE WHEN doc_id % 5 = 0 THEN ['en'] WHEN doc_id % 5 = 1 OR (d = 0 AND e = 0) THEN ['de', 'en'] WHEN e > d THEN ['en', 'de'] WHEN e = 0 THEN ['de'] ELSE ['de', 'en'] END, ',') AS languages
+    FROM (SELECT doc_id, {_marks('de')} AS d, {_marks('en')} AS e FROM documents)""",
+)
+def language_routing(spark: SparkSession, sf: str) -> DataFrame:
+    declared = F.when(F.col("doc_id") % 5 == 0, " EN_us").when(F.col("doc_id") % 5 == 1, "xx")
+    return table(spark, sf, "documents").select("doc_id", F.array_join(languages_for(F.col("text"), declared), ",").alias("languages"))
