@@ -1,8 +1,8 @@
 """Op 6: similarity join on word shingles by vertical partitioning.
 
-Shingles have one global order, rarest first; rarity is read from a sketch of fixed size (document counts by hash bucket), so
-the order is the same everywhere and very common shingles come last. The order is cut into ``FRAGMENTS`` fragments of about
-equal mass. Two sets that link share a number of shingles among the first of each (the prefix, which lies in the first
+Shingles have one global order, rarest first: a shingle is as rare as its rarest word, and how often words occur is read from
+a sketch of fixed size (counts by hash bucket), so the order is the same everywhere, shingles with a rare word come first and
+very common ones last. The order is cut into ``FRAGMENTS`` fragments of about equal mass. Two sets that link share a number of shingles among the first of each (the prefix, which lies in the first
 fragments); a node that shares fewer with all others together is out. Then:
 
 1. Documents with equal sets are one node, so copies never meet each other.
@@ -39,20 +39,33 @@ BLOCK, FRAGMENTS, COLUMNS = 512, 8, 4096
 SEEN = 500_000
 
 
-def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each document: A-Z lowered; with fewer words than ``size``, all as one."""
+def _bucket(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, A-Z lowered, and the n + 1 offsets of each document's."""
     low = B.LOWER[buf]
     starts, ends, firsts = B.words(low, offs)
-    roll = B.Rolling(B.Rolling.of_bytes(low).of(starts, ends))
-    every = roll.of_all(size)
+    return B.Rolling.of_bytes(low).of(starts, ends), firsts
+
+
+def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int, sketch: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The sorted distinct shingle hashes of each document and how often their rarest words occur; with fewer words than
+    ``size``, all of them are one shingle."""
+    words, firsts = _words(buf, offs)
+    load = sketch[_bucket(words)]
+    roll = B.Rolling(words)
+    every, rarest = roll.of_all(size), B.sliding_min(load, size)
     out = []
     for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
         if b - a >= size:
-            out.append(np.unique(every[a : b - size + 1]))
+            items, first = np.unique(every[a : b - size + 1], return_index=True)
+            out.append((items, rarest[a + first]))
         elif b > a:
-            out.append(roll.of(np.array([a]), np.array([b])))
+            out.append((roll.of(np.array([a]), np.array([b])), load[a:b].min(keepdims=True)))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append((np.zeros(0, np.uint64), load[:0]))
     return out
 
 
@@ -66,17 +79,11 @@ def _identity(s: np.ndarray) -> tuple[int, int]:
     return tuple(B.signed(B.mix(both)).tolist())
 
 
-def _bucket(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-
-
-def _sketch(size: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """This task's share of the sketch, in parts."""
     counts = np.zeros(1 << SKETCH_BITS, np.int32)
     for _, buf, offs in B.blocks(it, "text"):
-        sets = shingle_sets(buf, offs, size)
-        if sets:
-            counts += np.bincount(_bucket(np.concatenate(sets)), minlength=len(counts)).astype(np.int32)
+        counts += np.bincount(_bucket(_words(buf, offs)[0]), minlength=len(counts)).astype(np.int32)
     if counts.any():
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(_PARTS), pa.int32()), pa.array([x.tobytes() for x in np.split(counts, _PARTS)], pa.binary())], names=["part", "counts"])
 
@@ -96,7 +103,7 @@ def _survey(size: int, percent: int, held, it: Iterator[pa.RecordBatch]) -> Iter
     seen: set[tuple[int, int]] = set()
     for part, buf, offs in B.blocks(it, "text"):
         n, ids, short, tokens = [], [], [], []
-        for s in shingle_sets(buf, offs, size):
+        for s, load in shingle_sets(buf, offs, size, sketch):
             key = _identity(s)
             n.append(len(s))
             ids.append(key)
@@ -108,7 +115,7 @@ def _survey(size: int, percent: int, held, it: Iterator[pa.RecordBatch]) -> Iter
             if len(seen) >= SEEN:
                 seen.clear()
             seen.add(key)
-            tokens.append(B.signed(s[np.lexsort((s, sketch[_bucket(s)]))[:every]]))
+            tokens.append(B.signed(s[np.lexsort((s, load))[:every]]))
         cols = [part.column("id"), part.column("k1"), pa.array(n, pa.int64()), pa.array([x for x, _ in ids], pa.int64()), pa.array([y for _, y in ids], pa.int64()), pa.array(short, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(cols, names=["id", "k1", "n", "sid", "check", "short", "tokens"])
 
@@ -127,13 +134,56 @@ def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
     return min(n, n - -(-2 * percent * n // (100 + percent)) + more), min(n, n - -(-percent * n // 100) + more)
 
 
+#: Bits of the filter through which texts pass that are needed again; the join behind it is exact.
+FILTER_BITS = 24
+
+
+def _hold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The filter's bits that this task's keys set, in parts."""
+    bits = np.zeros(1 << FILTER_BITS, dtype=bool)
+    for batch in it:
+        bits[batch.column("k1").to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)] = True
+    if bits.any():
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(_PARTS), pa.int32()), pa.array([x.tobytes() for x in np.split(np.packbits(bits), _PARTS)], pa.binary())], names=["part", "bits"])
+
+
+def _join_parts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in it:
+        for part, bits in zip(batch.column("part").to_pylist(), batch.column("bits"), strict=True):
+            more = np.frombuffer(bits.as_buffer(), np.uint8)
+            held[part] = held[part] | more if part in held else more.copy()
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["part", "bits"])
+
+
+def _needed(held, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose key may be needed, those of one key once for each task."""
+    bits = np.unpackbits(held.value).view(bool)
+    sent: set[int] = set()
+    for batch in it:
+        keys = batch.column("k1").to_numpy()
+        pick = []
+        for i in np.flatnonzero(bits[keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)]).tolist():
+            if keys[i] not in sent:
+                if len(sent) >= SEEN:
+                    sent.clear()
+                sent.add(int(keys[i]))
+                pick.append(i)
+        if pick:
+            yield batch.take(pa.array(pick, pa.int64()))
+
+
 def _segments(size: int, held, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, fragment, shingles): each set cut by the fragments of the global order."""
+    """(node, fragment, shingles): each set cut by the fragments of the global order. Rows come by node; each is cut once."""
     sketch, pivots = held.value
+    last = None
     for part, buf, offs in B.blocks(it, "text"):
         node, fragment, items = [], [], []
-        for i, s in zip(part.column("node").to_pylist(), shingle_sets(buf, offs, size), strict=True):
-            of = np.searchsorted(pivots, sketch[_bucket(s)])
+        for i, (s, load) in zip(part.column("node").to_pylist(), shingle_sets(buf, offs, size, sketch), strict=True):
+            if i == last:
+                continue
+            last = i
+            of = np.searchsorted(pivots, load)
             for f in np.unique(of).tolist():
                 node.append(i)
                 fragment.append(f)
@@ -269,14 +319,16 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("k1", F.xxhash64("id", "text"))
     kind = base.schema["id"].dataType.simpleString()
     # the whole sketch has 2**SKETCH_BITS numbers, whatever the input
-    slices = base.select("text").mapInArrow(partial(_sketch, size), "part int, counts binary").repartition(_PARTS, "part").mapInArrow(_sum_parts, "part int, counts binary")
+    slices = base.select("text").mapInArrow(_sketch, "part int, counts binary").repartition(_PARTS, "part").mapInArrow(_sum_parts, "part int, counts binary")
     sketch = np.zeros((_PARTS, (1 << SKETCH_BITS) // _PARTS), np.int64)
     for r in slices.collect():
         sketch[r["part"]] = np.frombuffer(r["counts"], np.int64)
     sketch = np.minimum(sketch.ravel(), 2**31 - 1).astype(np.int32)
     load = np.sort(sketch)
     mass = np.cumsum(load, dtype=np.float64)
-    pivots = load[np.minimum(np.searchsorted(mass, mass[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS), len(load) - 1)]
+    # where the rarest of ``size`` words is as likely to fall below as a fragment's share of all shingles
+    share = 1 - (1 - np.arange(1, FRAGMENTS) / FRAGMENTS) ** (1 / size)
+    pivots = load[np.minimum(np.searchsorted(mass, mass[-1] * share), len(load) - 1)]
     held = spark.sparkContext.broadcast(sketch)
     cuts = spark.sparkContext.broadcast((sketch, np.unique(pivots)))
 
@@ -294,15 +346,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     discard(leads)
     size_of = F.floor(F.col("tag") / 2)
     common = lambda n: F.least(F.lit(8), F.greatest(F.lit(1), F.floor(n / 20)))  # noqa: E731  as least_common
-    for _ in range(2):
-        # a node that shares too few shingles with all others together can't link; without it, others may share fewer
-        able = members.groupBy("node").agg(F.count("*").alias("c"), F.max(size_of).alias("n")).filter(F.col("c") >= common(F.floor(F.col("n") * percent / 100))).select("node")
-        able = materialise(able, "jaccard-able")
-        shared = members.join(able, "node").groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token", F.col("lo").alias("lead"))
-        shared = materialise(shared, "jaccard-shared")
-        fewer = materialise(members.drop("lead").join(able, "node").join(shared, "token"), "jaccard-members")
-        discard(members, able, shared)
-        members = fewer
+    # a node that shares too few shingles with all others together can't link; without it, others may share fewer
+    able = members.groupBy("node").agg(F.count("*").alias("c"), F.max(size_of).alias("n")).filter(F.col("c") >= common(F.floor(F.col("n") * percent / 100))).select("node")
+    able = materialise(able, "jaccard-able")
+    shared = members.join(able, "node").groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token", F.col("lo").alias("lead"))
+    shared = materialise(shared, "jaccard-shared")
+    fewer = materialise(members.drop("lead").join(able, "node").join(shared, "token"), "jaccard-members")
+    discard(members, able, shared)
+    members = fewer
 
     def homes(leading: DataFrame) -> DataFrame:
         votes = leading.groupBy("node", "lead").agg(F.count("*").alias("votes"))
@@ -344,8 +395,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     # the sets of the nodes that may link, cut by fragments; documents that repeat a node bring the same
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(blocked.select("node")).distinct()
     ends = materialise(nodes.join(ends, "node").select("k1", "node"), "jaccard-ends")
-    segments = base.select("k1", "text").join(ends, "k1").mapInArrow(partial(_segments, size, cuts), "node long, fragment int, items binary")
-    segments = materialise(segments.groupBy("node", "fragment").agg(F.any_value("items").alias("items")), "jaccard-segments")
+    # the whole filter has 2**FILTER_BITS bits, whatever the input
+    bits = np.zeros((_PARTS, (1 << FILTER_BITS) // 8 // _PARTS), np.uint8)
+    for r in ends.select("k1").mapInArrow(_hold, "part int, bits binary").repartition(_PARTS, "part").mapInArrow(_join_parts, "part int, bits binary").collect():
+        bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    bits = bits.ravel()
+    texts = base.select("k1", "text").mapInArrow(partial(_needed, spark.sparkContext.broadcast(bits)), "k1 long, text string").repartition(parts, "k1")
+    segments = texts.join(ends, "k1").sortWithinPartitions("node").mapInArrow(partial(_segments, size, cuts), "node long, fragment int, items binary")
+    segments = materialise(segments, "jaccard-segments")
     inside = segments.join(blocked, "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     inside = inside.select("lead", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "node", "block", "n", "fragment", "items")
     inside = inside.repartition(parts, "lead", "one", "two").sortWithinPartitions("lead", "one", "two", "fragment").mapInArrow(partial(_clusters, percent), "a long, b long")
