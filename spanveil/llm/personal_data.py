@@ -31,6 +31,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 WORD = r"[\p{L}\p{M}\p{N}_]+"
 SECRET_LENGTH = 20
 SECRET = rf"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{{{SECRET_LENGTH},}}+"
+#: Hash slots of the filter for words.
+SLOTS = 1 << 20
 #: Characters to either side of an entity in which terms are looked for.
 REACH = 60
 
@@ -97,6 +99,16 @@ def _entities(kind: Column, value: Column) -> Column:
     return F.array(F.concat(kind, F.lit("="), exact), F.concat(kind, F.lit("~"), group), kind)
 
 
+def _words(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(k1, k2, term) of the distinct words of texts that are among ``terms``, or share one of the ``SLOTS`` hash slots with one:
+    a filter of bounded size, so that other words are never shuffled."""
+    words = texts.select("k1", "k2", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
+    # SLOTS rows at most
+    wanted = terms.select(slot("term").alias("slot")).distinct()
+    return words.join(F.broadcast(wanted), slot("term") == F.col("slot"), "left_semi")
+
+
 def detect(docs: DataFrame, share: float = 0.9, support: int = 3, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """n_email, n_ip, n_card, n_phone, base_sha256, n_secret, n_term, n_spans, spans and, with ``keep_text``, clean_text for
     every row.
@@ -119,8 +131,7 @@ def detect(docs: DataFrame, share: float = 0.9, support: int = 3, id_col: str =
     together = materialise(together, "personal-together")
     # each distinct text once, as in the other two counts
     each = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    words = each.select("k1", "k2", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    known = words.join(together.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    known = _words(each, together).groupBy("term").agg(F.count("*").alias("n_t"))
     total = float(max(rows.select("k1", "k2").distinct().count(), 1))
     scored = together.join(entities, "entity").join(known, "term")
     content = F.log2(F.lit(total) / F.col("n_e"))
@@ -128,12 +139,11 @@ def detect(docs: DataFrame, share: float = 0.9, support: int = 3, id_col: str =
     telling = materialise(scored.filter(mutual >= share * content).select("term").distinct(), "personal-telling")
 
     # wherever a telling term stands
-    hold = words.join(telling, "term").groupBy("k1", "k2").agg(F.collect_set("term").alias("telling"))
+    hold = _words(keyed, telling).join(telling, "term").groupBy("k1", "k2").agg(F.collect_set("term").alias("telling"))
     hold = materialise(hold, "personal-holding")
-    places = keyed.join(hold, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     hits = F.filter(find_spans(F.col("text"), WORD), lambda x: F.array_contains("telling", F.lower(x["value"])))
-    places = places.select("k1", "k2", F.transform(hits, lambda x: F.struct(F.lit("term").alias("kind"), x["s"].alias("s"), x["e"].alias("e"))).alias("terms"))
-    places = materialise(places, "personal-places")
+    places = keyed.join(hold, ["k1", "k2"]).select("k1", "k2", F.transform(hits, lambda x: F.struct(F.lit("term").alias("kind"), x["s"].alias("s"), x["e"].alias("e"))).alias("terms"))
+    places = materialise(places.groupBy("k1", "k2").agg(F.first("terms").alias("terms")), "personal-places")
 
     bare = lambda c: F.transform(c, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
     out = rows.select("id", "k1", "k2", bare("base").alias("base"), bare("secrets").alias("secrets")).join(places, ["k1", "k2"], "left")
