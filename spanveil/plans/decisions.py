@@ -14,7 +14,7 @@ from spanveil.plans.catalogue import query
 from spanveil.rules import gate as R
 from spanveil.rules.simplify import LATIN, PASSIVE, PLAIN
 from spanveil.rules.threats import THREATS
-from spanveil.session import table
+from spanveil.session import spread, table
 from spanveil.streaming import breach
 
 
@@ -40,7 +40,7 @@ def classified(spark: SparkSession, sf: str) -> DataFrame:
 @query("q_classify_documents", f"SELECT {_CLASS_SQL} AS classification, count(*) AS n FROM documents GROUP BY 1")
 def classified_documents(spark: SparkSession, sf: str) -> DataFrame:
     label = classify(F.col("text"), F.size(art9_keywords(F.col("text"))) > 0, F.lit(False))
-    return table(spark, sf, "documents").select(label.alias("classification")).groupBy("classification").agg(F.count("*").alias("n"))
+    return spread(table(spark, sf, "documents")).select(label.alias("classification")).groupBy("classification").agg(F.count("*").alias("n"))
 
 
 _NAMES = {"signup": " Local-Only ", "error": "OpenAI", "click": "LM Studio", "view": "gemini", "purchase": "ollama"}
@@ -107,9 +107,9 @@ def assessed(spark: SparkSession, sf: str) -> DataFrame:
     return anonymise.assess(rows, "k").withColumn("quality", F.round("quality", 6))
 
 
-@query("q_quality_score", "SELECT doc_id, round(CASE WHEN n_chars = 0 THEN 1.0 ELSE greatest(0.0, least(1.0, (1 - (n_chars % 7) / greatest(n_chars % 11, 1)) * CASE WHEN doc_id % 2 = 0 THEN 0.5 ELSE 1.0 END)) END, 6)::DOUBLE AS score FROM documents WHERE n_chars % 11 > 0")
+@query("q_quality_score", "SELECT doc_id, round(CASE WHEN n_chars % 11 = 0 THEN 1.0 ELSE greatest(0.0, least(1.0, (1 - (n_chars % 7) / greatest(n_chars % 11, 1)) * CASE WHEN doc_id % 2 = 0 THEN 0.5 ELSE 1.0 END)) END, 6)::DOUBLE AS score FROM documents")
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").filter("n_chars % 11 > 0")
+    docs = table(spark, sf, "documents")
     return docs.select("doc_id", F.round(anonymise.quality_score(F.col("n_chars") % 11, F.col("n_chars") % 7, F.col("doc_id") % 2 == 0), 6).alias("score"))
 
 
@@ -212,7 +212,7 @@ def html(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("q_threat_scan")
 def threat_scan(spark: SparkSession, sf: str) -> DataFrame:
-    out = scan_threats(table(spark, sf, "conversations"), strictness="high")
+    out = scan_threats(spread(table(spark, sf, "conversations")), strictness="high")
     return out.select("conv_id", "turn", F.size("threats").cast("long").alias("n"), "blocked", "sanitised")
 
 
@@ -323,6 +323,5 @@ def art9(spark: SparkSession, sf: str) -> DataFrame:
 def rule_pack(spark: SparkSession, sf: str) -> DataFrame:
     from spanveil.rules.pack import pack_spans
 
-    docs = table(spark, sf, "documents").filter(F.col("text").rlike("[0-9@]"))
-    rows = docs.select("doc_id", F.explode(pack_spans(F.col("text"))).alias("x"))
+    rows = spread(table(spark, sf, "documents")).select("doc_id", F.explode(pack_spans(F.col("text"))).alias("x"))
     return rows.groupBy("doc_id", "x.rule").agg(F.count("*").alias("n"))

@@ -11,7 +11,7 @@ from spanveil.operators.redact import blocked, hash_overlay, hash_token, number_
 from spanveil.operators.scan import safe_projection, scan_documents
 from spanveil.operators.text import chunks
 from spanveil.plans.catalogue import query
-from spanveil.session import table
+from spanveil.session import spread, table
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 CARD = r"(?:4[0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}|5[1-5][0-9]{2}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4})"
@@ -152,7 +152,7 @@ def full_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Text to findings to overlay to verdict, one narrow stage."""
     from spanveil.operators.gate import art9_keywords, classify, decide
 
-    docs = scan_documents(table(spark, sf, "documents").select("doc_id", "text"), min_confidence="medium")
+    docs = scan_documents(spread(table(spark, sf, "documents").select("doc_id", "text")), min_confidence="medium")
     secret = F.exists("findings", lambda f: (f["pii_type"] == "secret") & (f["confidence"] == "high"))
     label = classify(F.col("text"), F.size(art9_keywords(F.col("text"))) > 0, secret)
     out = docs.withColumns({"overlay": redact(F.col("text"), F.col("findings")), "classification": label})

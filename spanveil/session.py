@@ -31,6 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan of fewer parts than there are cores, dealt to all of them; others as they are. For operators that cost far
+    more than an exchange of the rows; tables of a cluster's size have parts enough and aren't exchanged."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``. Where none is set, a local session (tests) gets a temporary one; a cluster
     doesn't, as its machines don't share such a folder."""
