@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanveil.llm.conversation_repair import repair_damaged
 from spanveil.llm.decontaminate import contaminated
 from spanveil.llm.jaccard_join import jaccard_components
 from spanveil.llm.language_id import identify, train
@@ -18,6 +19,8 @@ from spanveil.llm.sentencepiece_codec import encode
 from spanveil.llm.sharding import shard
 from spanveil.llm.substring_dedup import substring_dedup
 from spanveil.llm.suffix_array_dedup import suffix_array_dedup
+from spanveil.llm.token_counts import count_tokens
+from spanveil.llm.vector_codes import compress
 from spanveil.session import table
 
 #: A model file of a public tokenizer, read on the driver.
@@ -71,6 +74,20 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
@@ -82,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_token_counts": op12_token_counts,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLES: dict[str, str] = {
     "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
