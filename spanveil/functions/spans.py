@@ -6,14 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def find_spans(text: Column, pattern: str, shift: Column | int = 0) -> Column:
-    """``array<struct<s int, e int, value string>>`` of the leftmost non-overlapping matches of a pattern that never matches
-    nothing; positions are code points, the end exclusive, moved by ``shift``.
+def find_spans(text: Column, pattern: Column | str, shift: Column | int = 0) -> Column:
+    """``array<struct<s int, e int, value string>>`` of the leftmost non-overlapping matches of a pattern (a row's own, if it is
+    a column) that never matches nothing; positions are code points, the end exclusive, moved by ``shift``.
 
     The text between the matches (``split``) and the matches (``regexp_extract_all``) alternate, so a running sum of their
     lengths gives the positions.
     """
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     both = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("gap"), m.alias("value")))
     empty = F.array().cast("array<struct<s:int,e:int,value:string>>")
     begin = F.struct((F.lit(shift) if isinstance(shift, int) else shift).cast("int").alias("at"), empty.alias("out"))
