@@ -26,12 +26,12 @@ def to_sink(decisions: DataFrame, sink: EnforcementSink):
 def require_privacy_check(destination: str, mode: str = "standard") -> Callable:
     """Decorates a function of a DataFrame with ``text``: rows that the gate blocks make it raise PermissionError."""
     from spanveil.operators.gate import classify, decide
-    from spanveil.operators.person import art9_verdict
+    from spanveil.operators.person import special_categories
 
     def wrap(f: Callable) -> Callable:
         @functools.wraps(f)
         def call(df: DataFrame, *args, **kw):
-            label = classify(F.col("text"), F.size(art9_verdict(F.col("text"))) > 0, F.lit(False))
+            label = classify(F.col("text"), F.size(special_categories(F.col("text"))) > 0, F.lit(False))
             if not df.filter(~decide(label, F.lit(destination), F.lit(mode))).isEmpty():
                 raise PermissionError(f"blocked for {destination}")
             return f(df, *args, **kw)
@@ -44,7 +44,7 @@ def require_privacy_check(destination: str, mode: str = "standard") -> Callable:
 def main(args: list[str] | None = None) -> int:
     """``scan FOLDER [--out TABLE]``: 0 if everything may go, 2 if something is blocked, 1 on an error."""
     from spanveil.operators.gate import classify, decide
-    from spanveil.operators.person import art9_verdict
+    from spanveil.operators.person import special_categories
     from spanveil.operators.redact import redact, residual
     from spanveil.operators.review import rollup
     from spanveil.operators.scan import scan_documents
@@ -62,7 +62,7 @@ def main(args: list[str] | None = None) -> int:
         spark: SparkSession = build_session()
         rows = scan_documents(read_folder(spark, a.target), min_confidence=a.min_confidence)
         rows = rows.withColumns({"overlay": redact(F.col("text"), F.col("findings")), "scan_error": F.coalesce("error", "scan_error")})
-        label = classify(F.col("text"), F.size(art9_verdict(F.col("text"))) > 0, F.exists("findings", lambda f: (f["pii_type"] == "secret") & (f["confidence"] == "high")))
+        label = classify(F.col("text"), F.size(special_categories(F.col("text"), F.filter("findings", lambda f: f["pii_type"] == "name"))) > 0, F.exists("findings", lambda f: (f["pii_type"] == "secret") & (f["confidence"] == "high")))
         rows = rows.withColumns({"residual": residual(F.col("overlay"), F.col("findings")), "classification": label})
         rows = rows.withColumn("egress_allowed", F.col("scan_error").isNull() & (F.col("residual") == 0) & decide(F.col("classification"), F.lit(a.destination), F.lit("standard")))
         # a scope that was chosen doesn't count against the files outside it

@@ -304,21 +304,6 @@ def excerpts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.excerpt(F.col("text")).alias("excerpt"))
 
 
-@query("q_sentences")
-def sentence_rows(spark: SparkSession, sf: str) -> DataFrame:
-    from spanveil.operators.person import split_sentences
-
-    rows = table(spark, sf, "documents").select("doc_id", split_sentences(F.col("text")).alias("x"))
-    return rows.select("doc_id", F.size("x").cast("long").alias("n"))
-
-
-@query("q_art9")
-def art9(spark: SparkSession, sf: str) -> DataFrame:
-    from spanveil.operators.person import art9_verdict
-
-    return table(spark, sf, "conversations").select("conv_id", "turn", art9_verdict(F.col("text")).alias("categories"))
-
-
 @query("q_rule_pack")
 def rule_pack(spark: SparkSession, sf: str) -> DataFrame:
     from spanveil.rules.pack import pack_spans

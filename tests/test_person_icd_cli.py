@@ -2,25 +2,65 @@ from pyspark.sql import functions as F
 
 from spanveil.enforcement import main, require_privacy_check
 from spanveil.operators.icd import find_terms, read_index
-from spanveil.operators.person import about_a_person, sentences, special_categories
+from spanveil.operators.person import person_ages, person_sentences, sentences, special_categories
 from spanveil.rules.pack import pack_spans
 
 import pytest
 
 
-def test_sentences_and_persons():
-    t = "Herr Dahl fehlt. Ursache: Hepatitis. Das Netz ist z.B. Stabil. Die Grippe geht um und alle sind im Haus krank geworden."
-    spans = sentences(t)
-    assert [t[s:e].split()[0] for s, e in spans][:3] == ["Herr", "Ursache:", "Das"]
-    assert about_a_person(t, spans)[:2] == [True, True] and not about_a_person(t, spans)[-1]
+def read(spark, texts, f):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    return [r.x for r in df.select("i", f(F.col("text")).alias("x")).orderBy("i").collect()]
 
 
-@pytest.mark.parametrize(
-    ("t", "want"),
-    [("Frau Meier hat die Diagnose erhalten.", ["health"]), ("Die Diagnose der Netzwerkstörung läuft.", []), ("My religion is private.", ["religious"]), ("The election is over.", []), (None, []), ("I vote and my doctor knows.", ["health", "political"])],
-)
-def test_special_categories(t, want):
-    assert special_categories(t) == want
+def test_sentences(spark):
+    texts = ["Herr Dahl fehlt. Ursache: Hepatitis. Das Netz ist z.B. Stabil. Wer? „Sie!“ (Ja.) nein", "Eins!\n\n \n Zwei.\nDrei. vier", " \n\n ", "", None, "Ein Gen-Art. Test. Dr.\nVogt 😀. Ende"]
+    got = [[(x.s, x.e, x.text) for x in r] for r in read(spark, texts, sentences)]
+    assert all(t[s:e] == v for t, r in zip(texts, got, strict=True) for s, e, v in r)
+    assert [[v for _, _, v in r] for r in got] == [
+        ["Herr Dahl fehlt.", "Ursache: Hepatitis.", "Das Netz ist z.B. Stabil.", "Wer?", "„Sie!“ (Ja.) nein"], ["Eins!", "Zwei.", "Drei. vier"], [], [], [],
+        ["Ein Gen-Art. Test.", "Dr.", "Vogt 😀.", "Ende"],
+    ]
+
+
+@pytest.mark.parametrize("name", ["person", "record"])
+def test_who_a_sentence_is_about(spark, name):
+    cases = {
+        "person": [
+            ("Herr Dahl fehlt. Ursache: Hepatitis. Die Grippe geht um und alle sind im Haus krank geworden.", [True, True, False]),
+            ("Sie nicht heute bei uns. Sie kommt morgen wieder zu uns ins Haus. Mein Vater dankt.", [False, True, True]),
+            ("Er läuft seit Jahren ohne jeden Fehler und Halt. The pump is old.", [False, False]),
+            ("Der neue Kunde zahlt. Die Kunden zahlen immer und überall sehr gern.", [True, False]),
+            ("Siehe F32.1 im Blatt. Nichts weiter steht in den Akten dieses langen Falles.", [True, False]),
+        ],
+        "record": [
+            ("Attest\n\nEs besteht seit langer Zeit eine Erkrankung der Lunge.", [True, True]),
+            ("Mitarbeiter: Alle Leute\n\nEs besteht seit langer Zeit eine Regel für das Haus.", [False, False]),
+            ("Bewerberin: Frau Roth\n\nEs besteht seit langer Zeit eine Anfrage aus dem Haus.", [True, True]),
+            ("Arztbrief-Software kaufen\n\nEs besteht seit langer Zeit eine Regel für das Haus.", [False, False]),
+        ],
+    }[name]
+    got = [[x.person for x in r] for r in read(spark, [t for t, _ in cases], person_sentences)]
+    assert got == [want for _, want in cases]
+
+
+def test_names_given_count_as_persons(spark):
+    df = spark.createDataFrame([("Hanna Roth kommt. Das Haus steht leer und still am See.", [(0, 10)])], "text string, names array<struct<start:int,end:int>>")
+    assert [x.person for x in df.select(person_sentences(F.col("text"), F.col("names")).alias("x")).first().x] == [True, False]
+
+
+def test_special_categories_and_ages(spark):
+    texts = ["Frau Meier hat die Diagnose erhalten.", "Die Diagnose der Netzwerkstörung läuft.", "My religion is private.", "The election is over.", None, "", "I vote and my doctor knows."]
+    assert read(spark, texts, special_categories) == [["health"], [], ["religious"], [], [], [], ["health", "political"]]
+    texts = ["Die Anlage ist 15 Jahre alt.", "Ich bin 15 Jahre alt, er kam im Alter von 7.", None]
+    assert [[x.value for x in r] for r in read(spark, texts, person_ages)] == [[], ["15 Jahre alt", "im Alter von 7"], []]
+
+
+def test_many_sentences(spark):
+    text = "Herr Dahl ist 40 Jahre alt. Das Netz steht seit 12 Jahren in allen Orten des Landes fest. " * 2000
+    [got] = read(spark, [text], person_sentences)
+    assert len(got) == 4000 and [x.person for x in got[:3]] == [True, False, True]
+    assert len(read(spark, [text], person_ages)[0]) == 2000
 
 
 def test_icd(spark, tmp_path):
