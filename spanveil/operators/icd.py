@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanveil.operators.lexicon import find_phrases
+
 # Which entries of the index are terms.
 CHAPTERS = "ABCDEFGHIJKLMNOPQRST"
 ENDINGS = ("itis", "ose", "osis", "om", "oma", "ämie", "pathie", "algie", "plegie", "karzinom", "sarkom", "infarkt", "sklerose", "syndrom", "krankheit")
@@ -32,20 +34,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def find_terms(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, end, term): the longest term from each place on, places inside a term passed over.
-
-    Word n-grams of every text are hash-joined with the index; Spark broadcasts it if it is small.
-    """
-    from spanveil.functions.spans import find_spans
-
-    words = docs.select(id_col, F.col(text_col).alias("_t"), find_spans(F.col(text_col), TOKEN).alias("w"))
-    at = words.select(id_col, "_t", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)))).alias("i")).filter(F.size("w") > 0)
-    some = [F.struct(F.lit(n).alias("n"), F.array_join(F.transform(F.slice("w", F.col("i") + 1, n), lambda x: normal(x["value"])), " ").alias("key")) for n in range(1, LONGEST + 1)]
-    rows = at.select(id_col, "i", F.get("w", F.col("i"))["s"].alias("start"), F.transform(F.slice("w", F.col("i") + 1, LONGEST), lambda x: x["e"]).alias("ends"), F.explode(F.array(*some)).alias("g"))
-    hits = rows.filter(F.col("g.n") <= F.size("ends")).select(id_col, "i", "start", F.get("ends", F.col("g.n") - 1).alias("end"), F.col("g.key").alias("key"), F.col("g.n").alias("n")).join(index, ["key", "n"])
-    longest = hits.groupBy(id_col, "i").agg(F.max(F.struct("n", "start", "end")).alias("x")).select(id_col, "i", "x.*")
-    # a place inside a term that began before it is passed over; terms are short, so a gap ends the question
-    w = Window.partitionBy(id_col).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    free = longest.withColumn("reach", F.max(F.col("i") + F.col("n")).over(w)).filter(F.col("reach").isNull() | (F.col("i") >= F.col("reach")))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    return free.join(texts, F.col(id_col) == F.col("_id")).select(id_col, "start", "end", F.substring("_t", F.col("start") + 1, F.col("end") - F.col("start")).alias("term"))
+    """(id, start, end, term) of the terms of the index in the texts: the longest in words first, of equals the leftmost."""
+    lexicon = index.select(F.split("key", " ").alias("words"))
+    found = find_phrases(docs, lexicon, normal, id_col, text_col)
+    return found.select(id_col, F.col("s").alias("start"), F.col("e").alias("end"), F.col("value").alias("term"))
