@@ -236,10 +236,28 @@ def query_spike(spark: SparkSession, sf: str) -> DataFrame:
     return breach.windowed_count(table(spark, sf, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 60).select("event_id", "n")
 
 
-@query("q_breach_escalation")
+#: Event types of the table as events of the detector, and limits that its events, minutes apart, reach.
+_EVENTS = {"error": "local_only_external_blocked", "view": "query_spike", "purchase": "unauthorized_access", "click": "credential_exposure"}
+_SPARSE = {"blocked": (14_400, 5), "query": (7_200, 4)}
+
+
+@query(
+    "q_breach_escalation",
+    f"""
+WITH RECURSIVE e AS (SELECT CAST(user_id % 3 AS VARCHAR) AS tenant, CASE event_type WHEN 'error' THEN 'blocked' WHEN 'view' THEN 'query' WHEN 'purchase' THEN 'unauthorized' WHEN 'click' THEN 'credential' END AS kind, epoch_us(ts) AS us FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY tenant, kind ORDER BY us) AS i, CASE kind WHEN 'blocked' THEN {_SPARSE['blocked'][0]} ELSE {_SPARSE['query'][0]} END * CAST(1000000 AS BIGINT) AS w, CASE kind WHEN 'blocked' THEN {_SPARSE['blocked'][1]} ELSE {_SPARSE['query'][1]} END AS most FROM e WHERE kind IN ('blocked', 'query')),
+f AS (SELECT tenant, kind, i, us, [us] AS held, 1 AS n FROM r WHERE i = 1
+  UNION ALL SELECT tenant, kind, i, us, CASE WHEN len(h) >= most THEN [] ELSE h END, len(h) FROM (SELECT r.tenant, r.kind, r.i, r.us, r.most, list_append(list_filter(f.held, lambda t: t > r.us - r.w), r.us) AS h FROM f JOIN r ON r.tenant = f.tenant AND r.kind = f.kind AND r.i = f.i + 1)),
+b AS (SELECT f.tenant, f.us, f.kind, 'high' AS severity, CAST(f.n AS BIGINT) AS count FROM f JOIN r USING (tenant, kind, i) WHERE f.n >= r.most UNION ALL SELECT tenant, us, kind, 'critical', CAST(1 AS BIGINT) FROM e WHERE kind IN ('unauthorized', 'credential'))
+SELECT tenant, us, kind, severity, count, us + {breach.DEADLINE_HOURS} * 3600000000 AS deadline_us, strftime(make_timestamp(us), '%Y_%m') AS month FROM b
+""",
+)
 def escalation(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events").filter("event_type = 'error'").withColumn("tenant", F.pmod("user_id", F.lit(10)))
-    return breach.with_deadline(breach.escalate(rows, "tenant", "ts", 3600, 5))
+    """Breaches of all kinds over all events, three tenants."""
+    names = F.create_map(*(F.lit(x) for pair in _EVENTS.items() for x in pair))
+    rows = table(spark, sf, "events").select((F.col("user_id") % 3).alias("tenant"), names[F.col("event_type")].alias("event"), "ts")
+    found = breach.with_deadline(breach.breaches(rows, "tenant", "event", "ts", _SPARSE))
+    return found.select("tenant", F.unix_micros("ts").alias("us"), "kind", "severity", "count", F.unix_micros("deadline").alias("deadline_us"), "month")
 
 
 @query(

@@ -10,7 +10,6 @@ from spanveil.operators import anonymise, envelope, gate, redact, threats
 from spanveil.operators.scan import register_recogniser, RECOGNISERS, safe_projection, scan_documents, scan_text
 from spanveil.rules.identifiers import DOCUMENT, HEALTH, IBAN_LENGTHS, PENSION, SCHEMES, iban_ok, luhn_ok
 from spanveil.sources import files
-from spanveil.streaming import breach
 
 
 def make_iban(country, rng):
@@ -173,21 +172,6 @@ def test_threats(spark):
     assert clean["<|im_start|>x"] == "x" and clean["p\u0430ypal"] == "paypal" and clean["a harmless line"] == "a harmless line" and "previous" not in clean[rows[0][0]]
 
 
-def test_breach_resets(spark, tmp_path):
-    start = dt.datetime(2024, 1, 1)
-    times = [0, 10, 20, 30, 299, 300, 310, 320, 330, 1000, 1300, 1301]
-    df = spark.createDataFrame([("a", start + dt.timedelta(seconds=s)) for s in times] + [("b", start + dt.timedelta(seconds=60 * i)) for i in range(9)], "tenant string, ts timestamp")
-    want = {("a", 299), ("b", 240)}
-    seconds = lambda r: int((r.ts - start).total_seconds())
-    got = {(r.tenant, seconds(r)) for r in breach.with_deadline(breach.escalate(df, "tenant", "ts")).collect()}
-    assert got == want
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = breach.stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "tenant", "ts").writeStream.format("memory").queryName("breaches").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert {(r.tenant, seconds(r)) for r in spark.table("breaches").collect()} == want
-
-
 def test_files(spark, tmp_path):
     for name, raw in {"a.txt": b"hello", "b.md": "é".encode("utf-16"), "c.bin": b"x", "d.txt": b"a\0b", "e.html": b"<p>", "sub/f.log": "ü".encode("cp1252"), ".hidden/g.txt": b"no", "h.docx": b"broken"}.items():
         p = tmp_path / name
