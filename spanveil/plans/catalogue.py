@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from spanveil.plans import credentials, decisions, detection, lexicon, names, oversight, persons, rule_cases  # noqa: F401
+    from spanveil.plans import credentials, decisions, detection, identifier_runs, lexicon, names, oversight, persons, rule_cases  # noqa: F401
