@@ -22,6 +22,7 @@ def build_session(cores: str | int = "*", app: str = "spanveil", **conf: str) ->
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": os.environ.get("SPANVEIL_DRIVER_MEMORY", "8g"),
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+        "spark.sql.python.filterPushdown.enabled": "true",
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     return SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=settings).getOrCreate()

@@ -12,10 +12,13 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanveil.sources.folder import list_folder, open_store
+
 # What is read where no extensions are chosen.
 DEFAULT_EXTENSIONS = (".txt", ".md", ".markdown", ".rst", ".csv", ".tsv", ".json", ".log", ".html", ".htm", ".xml", ".yaml", ".yml", ".pdf", ".docx", ".doc", ".rtf")
 UNSUPPORTED = (".html", ".htm", ".rtf", ".doc", ".xlsx", ".pptx")
@@ -59,8 +62,6 @@ def _extract(path: str, raw: bytes) -> tuple[str | None, str | None]:
     suffix = re.search(r"\.[^./]*$", path.lower())
     kind = suffix[0] if suffix else ""
     try:
-        if len(raw) > MAX_BYTES:
-            return None, "file too large"
         if kind in UNSUPPORTED:
             return None, f"unsupported document type {kind}"
         if kind == ".docx":
@@ -78,26 +79,41 @@ def _extract(path: str, raw: bytes) -> tuple[str | None, str | None]:
         return None, f"unreadable: {type(e).__name__}"
 
 
-def read_folder(spark: SparkSession, path: str, extensions: tuple[str, ...] | None = None) -> DataFrame:
-    """(path, text, error, kind) of the files below a folder, dot files and ``__pycache__`` aside, by path.
+def read_folder(spark: SparkSession, path: str, extensions: tuple[str, ...] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, text, error, kind) of the files below a folder, or of one file, whatever its suffix; hidden files and ``__pycache__``
+    aside.
 
-    Files outside the extensions are rows with an error too: ``filtered_default`` where no extensions were chosen (that
-    scope was imposed), ``filtered_chosen`` where they were; others that fail are ``unreadable``.
+    A directory that can't be listed and a file beyond ``max_bytes`` or that fails are rows of kind ``unreadable``. Files outside
+    the extensions are rows too: ``filtered_default`` where no extensions were chosen (that scope was imposed),
+    ``filtered_chosen`` where they were. Only what is wanted is opened, one file at a time, in tasks to which the list is dealt
+    by path.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    found = found.filter(~F.col("path").rlike(r"/(?:\.[^/]+|__pycache__)(?:/|$)"))
-    wanted = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*(extensions or DEFAULT_EXTENSIONS))
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in it:
-            rows = [(p, *(_extract(p, bytes(c)) if ok else (None, "outside the extensions")), ok) for p, c, ok in zip(part["path"], part["content"], part["ok"], strict=True)]
-            yield pd.DataFrame(rows, columns=["path", "text", "error", "ok"])
-
-    # the content of files that aren't wanted is not read
-    content = F.when(wanted, F.col("content")).otherwise(F.lit(b""))
-    out = found.select("path", content.alias("content"), wanted.alias("ok")).mapInPandas(run, "path string, text string, error string, ok boolean")
+    store, root = open_store(path)
+    one = store.get_file_info(root).type == pafs.FileType.File
+    listed = list_folder(spark, path)
+    wanted = F.lit(one) | F.col("suffix").isin(*(extensions or DEFAULT_EXTENSIONS))
     skipped = "filtered_chosen" if extensions else "filtered_default"
-    return out.select("path", "text", "error", F.when(~F.col("ok"), skipped).when(F.col("error").isNotNull(), "unreadable").alias("kind"))
+    kind = F.when(F.col("error").isNotNull() | (wanted & (F.col("bytes") > max_bytes)), "unreadable").when(~wanted, skipped)
+    error = F.coalesce("error", F.when(kind == skipped, "outside the extensions").when(F.col("bytes") > max_bytes, "file too large"))
+    marked = listed.select("path", error.alias("error"), kind.alias("kind"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, _ = open_store(path)
+        for batch in batches:
+            for row in batch.to_pylist():
+                text, error = None, row["error"]
+                if error is None:
+                    try:
+                        with where.open_input_stream(row["path"]) as f:
+                            text, error = _extract(row["path"], f.read())
+                    except OSError as e:
+                        error = f"unreadable: {type(e).__name__}"
+                yield pa.RecordBatch.from_pylist([{"path": row["path"], "text": text, "error": error, "kind": row["kind"] or ("unreadable" if error else None)}], _READ)
+
+    return marked.repartition("path").mapInArrow(run, "path string, text string, error string, kind string")
+
+
+_READ = pa.schema([(c, pa.string()) for c in ("path", "text", "error", "kind")])
 
 
 def read_text(spark: SparkSession, *texts: str) -> DataFrame:
