@@ -49,3 +49,26 @@ c AS (SELECT doc_id, count(*) AS n FROM x GROUP BY 1)
 SELECT d.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, coalesce(c.n, 0) AS n_dropped, CASE WHEN d.text IS NOT NULL THEN coalesce(s.text, '') END AS text
 FROM d LEFT JOIN s USING (doc_id) LEFT JOIN c USING (doc_id)
 """
+
+
+def _round(k: int) -> str:
+    """The assignment under the codebooks c<k>, and the codebooks after it."""
+    return f"""
+a{k} AS (SELECT vec_id, p.j AS j, any_value(y) AS y, min(struct_pack(d := list_sum(list_transform(list_zip(y, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e := e)) AS m FROM p JOIN c{k} ON c{k}.j = p.j GROUP BY vec_id, p.j),
+n{k} AS (SELECT j, e, list(CASE WHEN s % n < 0 THEN (s - (s % n + n)) // n ELSE (s - s % n) // n END ORDER BY i) AS c FROM (SELECT j, m.e AS e, i, CAST(sum(y[i]) AS BIGINT) AS s, count(*) AS n FROM a{k}, (SELECT unnest(range(1, 5)) AS i) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+c{k + 1} AS (SELECT o.j AS j, o.e AS e, coalesce(n.c, o.c) AS c FROM c{k} o LEFT JOIN n{k} n ON n.j = o.j AND n.e = o.e),"""
+
+
+#: Op 13: every distance, every time. The tables' vectors have 64 components and ids of their own.
+VECTOR_CODES = f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(floor(256 * CAST(v AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0),
+j AS (SELECT unnest(range(16)) AS j),
+p AS (SELECT vec_id, j, x[4 * j + 1:4 * j + 4] AS y FROM k, j),
+s AS (SELECT x, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k),
+c0 AS (SELECT j, e, x[4 * j + 1:4 * j + 4] AS c FROM s, j WHERE e < 64),{_round(0)}{_round(1)}
+f AS (SELECT vec_id, p.j AS j, min(struct_pack(d := list_sum(list_transform(list_zip(y, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e := e)) AS m FROM p JOIN c2 ON c2.j = p.j GROUP BY vec_id, p.j),
+r AS (SELECT vec_id, string_agg(lpad(lower(to_hex(m.e)), 2, '0'), '' ORDER BY j) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM f GROUP BY 1),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY j, e)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r JOIN k USING (vec_id), h
+"""

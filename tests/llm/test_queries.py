@@ -14,7 +14,8 @@ def test_sql(spark, name):
     columns = sorted(df.columns)
     got = [tuple(r) for r in df.select(*columns).collect()]
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for t in ("documents", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     rel = c.execute(ORACLES[name])
     names = [d[0] for d in rel.description]
     want = [tuple(dict(zip(names, r, strict=True))[k] for k in columns) for r in rel.fetchall()]
