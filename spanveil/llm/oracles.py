@@ -72,3 +72,50 @@ r AS (SELECT vec_id, string_agg(lpad(lower(to_hex(m.e)), 2, '0'), '' ORDER BY j)
 h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY j, e)) AS codebooks_sha256 FROM c2)
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r JOIN k USING (vec_id), h
 """
+
+
+def _edit(letter: str, cost: str, line: str, after: str) -> str:
+    return f"struct_pack(c := {cost} + {after}.c, a := '{letter}' || {after}.a, t := {line} || {after}.t)"
+
+
+#: After nothing, s, u and a: the state that the role that is due leads to, the role, and where keeping a row of an initial leads.
+_DUE = ((2, "user", {"s": 1, "u": 2}), (2, "user", {"u": 2}), (3, "assistant", {"a": 3}), (2, "user", {"u": 2}))
+_EXTRA = "CASE fate WHEN 'truncated' THEN 3 ELSE 0 END"
+
+
+def _before(q: int) -> str:
+    """The cheapest edits of a row and all after it, the first in ASCII, by state; without Insert before it."""
+    due, role, keeps = _DUE[q]
+    keep = " ".join(f"WHEN '{g}' THEN {_edit('K', _EXTRA, 'line', f'v[{to + 1}]')}" for g, to in keeps.items())
+    again = f"CASE WHEN fate <> 'gone' THEN {_edit('R', f'3 + {_EXTRA}', f"'{role}:' || text || chr(10)", f'v[{due + 1}]')} END"
+    return f"list_min([{_edit('D', '4', repr(''), f'v[{q + 1}]')}, CASE WHEN fate <> 'gone' THEN CASE initial {keep} END END, {again}])"
+
+
+def _inserted(q: int) -> str:
+    one, role, _ = _DUE[q]
+    two, next_role, _ = _DUE[one]
+    first = _edit("I", "3", f"'{role}:' || chr(10)", f"w[{one + 1}]")
+    second = _edit("II", "6", f"'{role}:' || chr(10) || '{next_role}:' || chr(10)", f"w[{two + 1}]")
+    return f"list_min([w[{q + 1}], {first}, {second}])"
+
+
+_END = "[struct_pack(c := 0, a := '', t := ''), struct_pack(c := 6, a := 'II', t := 'user:' || chr(10) || 'assistant:' || chr(10)), struct_pack(c := 3, a := 'I', t := 'assistant:' || chr(10)), struct_pack(c := 0, a := '', t := '')]"
+
+#: Op 11: whole edit sequences by state, row by row from the end. The tables' turns differ within a conversation.
+CONVERSATION_REPAIR = f"""
+WITH RECURSIVE z AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS said FROM conversations),
+y AS (SELECT *, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(said, ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) % 20 AS hit FROM z),
+d AS (SELECT conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE hit WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM y WHERE hit <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again, left(role, 1) AS initial,
+  regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS last FROM d),
+g AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM r),
+f AS (SELECT conv_id, i, initial, text, role || ':' || text || chr(10) AS line, CASE WHEN fault IN ('blank', 'duplicate') THEN 'gone' ELSE fault END AS fate FROM g),
+b AS (SELECT conv_id, max(i) + 1 AS i, {_END} AS v FROM f GROUP BY 1
+  UNION ALL SELECT conv_id, i, [{', '.join(map(_inserted, range(4)))}] FROM (SELECT b.conv_id, f.i AS i, [{', '.join(map(_before, range(4)))}] AS w FROM b JOIN f ON f.conv_id = b.conv_id AND f.i = b.i - 1)),
+s AS (SELECT conv_id, CASE WHEN count(turn) > 0 THEN max(turn) - min(turn) + 1 - count(DISTINCT turn) ELSE 0 END AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY 1)
+SELECT o.conv_id AS conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(v[1].c, 0) AS BIGINT) AS cost, coalesce(v[1].a, '') AS audit, sha256(coalesce(left(v[1].t, CASE WHEN v[1].t = '' THEN 0 ELSE length(v[1].t) - 1 END), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN s ON s.conv_id = o.conv_id LEFT JOIN (SELECT conv_id, v FROM b WHERE i = 1) e ON e.conv_id = o.conv_id
+"""

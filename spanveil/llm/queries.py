@@ -107,5 +107,6 @@ ORACLES: dict[str, str] = {
     "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op5_line_dedup": oracles.LINE_DEDUP,
     "op6_jaccard_join": oracles.JACCARD_JOIN,
+    "op11_conversation_repair": oracles.CONVERSATION_REPAIR,
     "op13_vector_codes": oracles.VECTOR_CODES,
 }

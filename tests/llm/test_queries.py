@@ -14,7 +14,7 @@ def test_sql(spark, name):
     columns = sorted(df.columns)
     got = [tuple(r) for r in df.select(*columns).collect()]
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     rel = c.execute(ORACLES[name])
     names = [d[0] for d in rel.description]
