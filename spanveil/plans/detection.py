@@ -182,7 +182,11 @@ def left_over(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", residual(redact(F.col("text"), F.slice("findings", 1, 1)), F.col("findings")).cast("long").alias("residual"))
 
 
-@query("q_hash_overlay")
+@query(
+    "q_hash_overlay",
+    f"""WITH m AS (SELECT doc_id, text, string_split_regex(text, '{EMAIL}') AS g, regexp_extract_all(text, '{EMAIL}') AS m FROM documents)
+    SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(list_transform(range(len(g)), lambda i: g[i + 1] || CASE WHEN i < len(m) THEN '[SHA:' || left(sha256('{SALT}:' || m[i + 1] || ':' || length(m[i + 1])), 16) || ']' ELSE '' END), '') END AS overlay FROM m""",
+)
 def hashed(spark: SparkSession, sf: str) -> DataFrame:
     found = F.transform(find_spans(F.col("text"), EMAIL), lambda x: F.struct(F.lit("email").alias("pii_type"), x["s"].alias("start"), x["e"].alias("end"), x["value"].alias("value")))
     return table(spark, sf, "documents").select("doc_id", hash_overlay(F.col("text"), found, SALT).alias("overlay"))
