@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanveil.operators import anonymise, envelope, review
 from spanveil.operators import text as T
 from spanveil.operators.gate import art9_keywords, classify, decide, for_log, is_external, word
-from spanveil.operators.redact import clauses
+from spanveil.operators.redact import CLAUSE_START, clauses
 from spanveil.operators.threats import java, scan_threats
 from spanveil.plans.catalogue import query
 from spanveil.rules import gate as R
@@ -301,7 +301,12 @@ def budget(spark: SparkSession, sf: str) -> DataFrame:
     return review.within_budget(table(spark, sf, "documents").select("doc_id", "source", "n_chars"), "source", ["doc_id"], "n_chars", 20000).select("doc_id", "used")
 
 
-@query("q_clauses")
+@query(
+    "q_clauses",
+    f"""WITH m AS (SELECT doc_id, string_split_regex(text, {quoted(CLAUSE_START)}) AS g, regexp_extract_all(text, {quoted(CLAUSE_START)}) AS m FROM documents),
+    s AS (SELECT doc_id, unnest(list_prepend(g[1], list_transform(range(len(m)), lambda i: m[i + 1] || g[i + 2]))) AS part FROM m)
+    SELECT doc_id, count(*) AS n, CAST(sum(length(part)) AS BIGINT) AS chars FROM s WHERE regexp_matches(part, '[^\\s]') GROUP BY 1""",
+)
 def clause_rows(spark: SparkSession, sf: str) -> DataFrame:
     return clauses(table(spark, sf, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
 
