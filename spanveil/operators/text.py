@@ -80,7 +80,7 @@ def features(text: Column, findings: Column) -> dict[str, Column]:
     }
 
 
-_CLEAN = [
+CLEAN = [
     (r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "[EMAIL]"),
     (r"\+?\d[\d\-\s().]{7,}\d", "[PHONE]"),
     (r"(?i)\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", "[IBAN]"),
@@ -91,7 +91,7 @@ _CLEAN = [
 
 def excerpt(text: Column, most: int = 6000) -> Column:
     """A passage as it may enter a prompt."""
-    return F.substring(reduce(lambda t, r: F.regexp_replace(t, r[0], F.lit(r[1])), _CLEAN, F.trim(text)), 1, most)
+    return F.substring(reduce(lambda t, r: F.regexp_replace(t, r[0], F.lit(r[1])), CLEAN, F.trim(text)), 1, most)
 
 
 MONEY = r"[0-9]{1,3}(?:[.,][0-9]{3})*[.,][0-9]{2}"

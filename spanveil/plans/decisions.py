@@ -322,7 +322,12 @@ def zone_rows(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.explode(T.zones(F.col("text"))).alias("z")).groupBy("z.zone").agg(F.count("*").alias("n"))
 
 
-@query("q_excerpt")
+_EXCERPT = "trim(text)"
+for _pattern, _new in T.CLEAN:
+    _EXCERPT = f"regexp_replace({_EXCERPT}, {quoted(_pattern.replace('(?iu)', '(?i)'))}, {quoted(_new)}, 'g')"
+
+
+@query("q_excerpt", f"SELECT doc_id, left({_EXCERPT}, 6000) AS excerpt FROM documents")
 def excerpts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.excerpt(F.col("text")).alias("excerpt"))
 
