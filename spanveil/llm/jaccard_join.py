@@ -174,23 +174,26 @@ def _needed(held, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _segments(size: int, held, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, fragment, shingles): each set cut by the fragments of the global order. Rows come by node; each is cut once."""
+    """(node and what goes with it, fragment, shingles): each set cut by the fragments of the global order. Rows come by
+    node; each is cut once."""
     sketch, pivots = held.value
+    given = ["node", "n", "lead", "block", "blocks", "crossing"]
     last = None
     for part, buf, offs in B.blocks(it, "text"):
-        node, fragment, items = [], [], []
-        for i, (s, load) in zip(part.column("node").to_pylist(), shingle_sets(buf, offs, size, sketch), strict=True):
+        row, fragment, items = [], [], []
+        for r, (i, (s, load)) in enumerate(zip(part.column("node").to_pylist(), shingle_sets(buf, offs, size, sketch), strict=True)):
             if i == last:
                 continue
             last = i
             of = np.searchsorted(pivots, load)
             for f in np.unique(of).tolist():
-                node.append(i)
+                row.append(r)
                 fragment.append(f)
                 items.append(s[of == f].tobytes())
-        for i in range(0, len(node), 1000):
+        for i in range(0, len(row), 1000):
             some = slice(i, i + 1000)
-            yield pa.RecordBatch.from_arrays([pa.array(node[some], pa.int64()), pa.array(fragment[some], pa.int32()), pa.array(items[some], pa.binary())], names=["node", "fragment", "items"])
+            of_node = part.select(given).take(pa.array(row[some], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*of_node.columns, pa.array(fragment[some], pa.int32()), pa.array(items[some], pa.binary())], names=[*given, "fragment", "items"])
 
 
 def overlaps(of: np.ndarray, items: np.ndarray, g: int) -> np.ndarray:
@@ -392,22 +395,25 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     pairs = materialise(pairs.select("a", "b", "na", "nb"), "jaccard-pairs")
     discard(mixed, homed, members, home)
 
-    # the sets of the nodes that may link, cut by fragments; documents that repeat a node bring the same
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(blocked.select("node")).distinct()
-    ends = materialise(nodes.join(ends, "node").select("k1", "node"), "jaccard-ends")
+    # the sets of the nodes that may link, cut by fragments; documents that repeat a node bring the same. A node's cluster and
+    # whether it has pairs go along, so that the cut sets, the bulk of the data, are exchanged once and not joined again
+    crossing = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("crossing", F.lit(True))
+    ends = materialise(nodes.select("k1", "node").join(blocked.join(crossing, "node", "full_outer"), "node"), "jaccard-ends")
+    discard(nodes, blocked)
     # the whole filter has 2**FILTER_BITS bits, whatever the input
     bits = np.zeros((_PARTS, (1 << FILTER_BITS) // 8 // _PARTS), np.uint8)
     for r in ends.select("k1").mapInArrow(_hold, "part int, bits binary").repartition(_PARTS, "part").mapInArrow(_join_parts, "part int, bits binary").collect():
         bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
     bits = bits.ravel()
     texts = base.select("k1", "text").mapInArrow(partial(_needed, spark.sparkContext.broadcast(bits)), "k1 long, text string").repartition(parts, "k1")
-    segments = texts.join(ends, "k1").sortWithinPartitions("node").mapInArrow(partial(_segments, size, cuts), "node long, fragment int, items binary")
+    segments = texts.join(ends, "k1").sortWithinPartitions("node").mapInArrow(partial(_segments, size, cuts), "node long, n long, lead long, block int, blocks int, crossing boolean, fragment int, items binary")
     segments = materialise(segments, "jaccard-segments")
-    inside = segments.join(blocked, "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    inside = segments.filter("lead is not null").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     inside = inside.select("lead", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "node", "block", "n", "fragment", "items")
     inside = inside.repartition(parts, "lead", "one", "two").sortWithinPartitions("lead", "one", "two", "fragment").mapInArrow(partial(_clusters, percent), "a long, b long")
-    across = pairs.join(segments.select(F.col("node").alias("a"), "fragment", F.col("items").alias("x")), "a")
-    across = across.join(segments.select(F.col("node").alias("b"), "fragment", F.col("items").alias("y")), ["b", "fragment"])
+    paired = segments.filter("crossing")
+    across = pairs.join(paired.select(F.col("node").alias("a"), "fragment", F.col("items").alias("x")), "a")
+    across = across.join(paired.select(F.col("node").alias("b"), "fragment", F.col("items").alias("y")), ["b", "fragment"])
     across = across.select("a", "b", "na", "nb", "x", "y").mapInArrow(_partial, "a long, b long, na long, nb long, c long").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
     across = across.filter(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
     # rows that share an id are one node
@@ -415,7 +421,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     same = full.filter("id is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("hi")).filter("a <> hi").select("id", "a")
     same = full.join(same, "id").select("a", F.col("node").alias("b"))
     labels = materialise(components(inside.unionByName(across).unionByName(same)), "jaccard-labels")
-    discard(nodes, blocked, pairs, ends, segments)
+    discard(pairs, ends, segments)
 
     labelled = materialise(full.join(labels, "node", "left").select("id", "n", F.coalesce("label", "node").alias("label")), "jaccard-labelled")
     smallest = labelled.groupBy("label").agg(F.min("id").alias("component_id"))

@@ -64,3 +64,41 @@ def test_keep_first_and_edges(spark):
     got = out.collect()
     assert sorted(str(r.doc_id) for r in got) == ["2", "5", "9", "None", "None"]
     assert jaccard_components(df.limit(0)).collect() == []
+
+
+def test_cut_sets_are_exchanged_once(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = []
+    for i in range(200):
+        words = [f"{rng.getrandbits(40):x}" for _ in range(400)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "other"]))]
+    sc = spark.sparkContext._jsc.sc()
+    figures = {}
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(20_000)
+        machines = sc.statusStore().executorList(True)
+        return sum(machines.apply(i).totalShuffleWrite() for i in range(machines.size()))
+
+    def spied(df, label="step", f=jaccard_join.materialise):
+        out = f(df, label)
+        if label == "jaccard-segments":
+            figures["items"] = sum(len(r["items"]) for r in out.select("items").collect())
+        return out
+
+    def components(edges, f=jaccard_join.components):
+        before = written()
+        edges.collect()
+        figures["exchanged"] = written() - before
+        return f(edges)
+
+    monkeypatch.setattr(jaccard_join, "materialise", spied)
+    monkeypatch.setattr(jaccard_join, "components", components)
+    joins = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on tables too large to broadcast
+    try:
+        got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joins)
+    assert got == {i: i - i % 2 for i in range(400)}
+    assert 0 < figures["exchanged"] < 1.25 * figures["items"]
