@@ -28,3 +28,9 @@ def test_categories_of_the_case_alone(same_as_sql):
     # short sentences behind one about a person, and those of a record, are about a person too
     rows = [(k, t, "user", "Reha, hand on. The religion and the union of all stand in this long sentence.") for k in range(20) for t in (0, 1)]
     same_as_sql("q_art9", "conversations", "conv_id long, turn long, role string, text string", rows)
+
+
+def test_addresses_with_one_character_between(same_as_sql):
+    texts = ["1.2.3.4 5.6.7.8", "1.2.3.4, 5.6.7.8", "1.2.3.4\n5.6.7.8\n9.9.9.9\n", "a1.2.3.4.5.6.7.8", "1.2.3.256 256.1.2.3.4", None, "", "01.2.3.4é5.6.7.8"]
+    got = same_as_sql("q_ipv4_counts", "documents", "doc_id long, text string", list(enumerate(texts)))
+    assert dict(got)[0] == 1 and dict(got)[1] == 2
