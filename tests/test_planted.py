@@ -34,3 +34,7 @@ def test_addresses_with_one_character_between(same_as_sql):
     texts = ["1.2.3.4 5.6.7.8", "1.2.3.4, 5.6.7.8", "1.2.3.4\n5.6.7.8\n9.9.9.9\n", "a1.2.3.4.5.6.7.8", "1.2.3.256 256.1.2.3.4", None, "", "01.2.3.4é5.6.7.8"]
     got = same_as_sql("q_ipv4_counts", "documents", "doc_id long, text string", list(enumerate(texts)))
     assert dict(got)[0] == 1 and dict(got)[1] == 2
+
+
+def test_names_of_the_layout_alone(same_as_sql):
+    same_as_sql("q_line_names", "documents", "doc_id long, text string", [(i, t) for i in range(24) for t in ["Heute kam Ines Aumann und Frau Anna Thelen.\nLG\nJonas\n"]])
