@@ -8,8 +8,9 @@ fragments); a node that shares fewer with all others together is out. Then:
 1. Documents with equal sets are one node, so copies never meet each other.
 2. Each prefix shingle held by two nodes or more names its smallest node as leader; a node joins the cluster of the leader
    that most of its shingles name. Large groups of near copies so become one cluster.
-3. In a cluster all pairs are decided in blocks of ``BLOCK`` nodes: a block's partial overlaps are counted one fragment of the
-   order after the other and summed per pair. Only a spanning forest of the links leaves the block, never the pairs.
+3. In a cluster all pairs are decided in blocks of about ``BLOCK`` nodes, cut by size, so that a block only meets those whose
+   sizes allow a link. Texts go to their blocks, which make the sets; only a spanning forest of the links leaves a block, never
+   the pairs.
 4. Pairs that share prefix shingles across clusters are listed, and go if their prefixes have too few in common. For those
    left, each fragment's partial overlap is a row of its own, and Spark sums the rows per pair.
 5. Connected components of the links.
@@ -22,7 +23,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanveil.llm import batches as B
@@ -35,6 +36,8 @@ SKETCH_BITS = 20
 _PARTS = 16
 #: Nodes in a block of a cluster; fragments of the global order; columns of a matrix when overlaps are counted.
 BLOCK, FRAGMENTS, COLUMNS = 512, 8, 4096
+#: Sizes that differ by less than one in so many are a step; shingles for which a node counts once more in a block.
+STEP, HEAVY = 50, 2048
 #: Sets that a task remembers so as to send each once.
 SEEN = 500_000
 
@@ -174,10 +177,8 @@ def _needed(held, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _segments(size: int, held, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node and what goes with it, fragment, shingles): each set cut by the fragments of the global order. Rows come by
-    node; each is cut once."""
+    """(node, fragment, shingles): each set cut by the fragments of the global order. Rows come by node; each is cut once."""
     sketch, pivots = held.value
-    given = ["node", "n", "lead", "block", "blocks", "crossing"]
     last = None
     for part, buf, offs in B.blocks(it, "text"):
         row, fragment, items = [], [], []
@@ -192,8 +193,8 @@ def _segments(size: int, held, it: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
                 items.append(s[of == f].tobytes())
         for i in range(0, len(row), 1000):
             some = slice(i, i + 1000)
-            of_node = part.select(given).take(pa.array(row[some], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*of_node.columns, pa.array(fragment[some], pa.int32()), pa.array(items[some], pa.binary())], names=[*given, "fragment", "items"])
+            node = part.column("node").take(pa.array(row[some], pa.int64()))
+            yield pa.RecordBatch.from_arrays([node, pa.array(fragment[some], pa.int32()), pa.array(items[some], pa.binary())], names=["node", "fragment", "items"])
 
 
 def overlaps(of: np.ndarray, items: np.ndarray, g: int) -> np.ndarray:
@@ -227,37 +228,17 @@ def _forest(link: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _clusters(percent: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (lead, one, two, fragment) → edges of a spanning forest of each pair of blocks."""
-    at: dict[int, int] = {}  # the nodes of the pair of blocks, their blocks and their sizes
+def _clusters(size: int, percent: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts sorted by (lead, one, two) → edges of a spanning forest of each pair of blocks."""
+    at: dict[int, int] = {}  # the nodes of the pair of blocks, their blocks and their sets
     blocks: list[int] = []
-    sizes: list[int] = []
-    total = np.zeros((0, 0), np.int64)
-    of: list[int] = []
     items: list[np.ndarray] = []
-    met: set[int] = set()
-    key, fragment = None, None
-
-    def count() -> None:
-        """Adds the partial overlaps of a fragment."""
-        nonlocal total
-        g = len(at)
-        if g > len(total):
-            more = np.zeros((max(g, 2 * len(total)),) * 2, np.int64)
-            more[: len(total), : len(total)] = total
-            total = more
-        if len(items) > 1:
-            total[:g, :g] += overlaps(np.repeat(of, [len(x) for x in items]), np.concatenate(items), g)
-        of.clear()
-        items.clear()
-        met.clear()
+    key = None
 
     def decide() -> pa.RecordBatch:
-        nonlocal total
-        count()
         g = len(at)
-        n = np.array(sizes, np.int64)
-        inter = total[:g, :g]
+        n = np.array([len(x) for x in items], np.int64)
+        inter = overlaps(np.repeat(np.arange(g), n), np.concatenate(items), g) if g > 1 else np.zeros((g, g), np.int64)
         link = 100 * inter >= percent * (n[:, None] + n[None, :] - inter)
         np.fill_diagonal(link, True)
         if key and key[1] != key[2]:
@@ -268,28 +249,21 @@ def _clusters(percent: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         rows = np.flatnonzero(label != np.arange(g))
         at.clear()
         blocks.clear()
-        sizes.clear()
-        total = np.zeros((0, 0), np.int64)
+        items.clear()
         return pa.RecordBatch.from_arrays([pa.array(nodes[rows], pa.int64()), pa.array(nodes[label[rows]], pa.int64())], names=["a", "b"])
 
-    for batch in it:
-        cols = [batch.column(c).to_pylist() for c in ("lead", "one", "two", "node", "block", "n", "fragment", "items")]
-        for lead, one, two, node, block, n, f, x in zip(*cols, strict=True):
+    level = np.zeros(1 << SKETCH_BITS, np.int32)  # the order of shingles is not asked for here
+    for part, buf, offs in B.blocks(it, "text"):
+        cols = [part.column(c).to_pylist() for c in ("lead", "one", "two", "node", "block")]
+        for lead, one, two, node, block, (s, _) in zip(*cols, shingle_sets(buf, offs, size, level), strict=True):
             if (lead, one, two) != key:
                 if key:
                     yield decide()
-                key, fragment = (lead, one, two), f
-            elif f != fragment:
-                count()
-                fragment = f
-            if node not in at:
+                key = (lead, one, two)
+            if node not in at:  # documents that repeat a node bring the same
                 at[node] = len(at)
                 blocks.append(block)
-                sizes.append(n)
-            if node not in met:
-                met.add(node)
-                of.append(at[node])
-                items.append(np.frombuffer(x, np.uint64))
+                items.append(s)
     yield decide()
 
 
@@ -304,6 +278,29 @@ def _partial(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(counts, pa.int64())], names=["a", "b", "na", "nb", "c"])
 
 
+def _by_size(inner: DataFrame, percent: int) -> DataFrame:
+    """node, n, lead and the node's block in its cluster (``lead``), with the first and last block that hold sizes with which one
+    of the block's own can link; nodes that are alone in a cluster are left out.
+
+    Blocks follow the sizes of their nodes, in steps of one in ``STEP``, by a running sum of the steps' weights (a cluster has no
+    more steps than there are between 1 and the largest size); within a step nodes are dealt by hash. A node weighs one, and one
+    more for each ``HEAVY`` shingles, so that many large sets make more blocks.
+    """
+    inner = inner.withColumns({"step": F.floor(F.log("n") * STEP).cast("int"), "weight": 1 + F.floor(F.col("n") / HEAVY)})
+    steps = inner.groupBy("lead", "step").agg(F.count("*").alias("many"), F.sum("weight").alias("weight"))
+    ahead = Window.partitionBy("lead").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("lead")
+    steps = steps.withColumns({"before": F.coalesce(F.sum("weight").over(ahead), F.lit(0)), "nodes": F.sum("many").over(whole), "all": F.sum("weight").over(whole)})
+    steps = steps.filter("nodes > 1").select("lead", "step", F.col("weight").alias("span"), "before", (F.col("all") / F.ceil(F.col("all") / BLOCK)).alias("width"))
+    place = F.col("before") + F.pmod(F.xxhash64("node"), F.col("span"))
+    placed = inner.join(steps, ["lead", "step"]).select("node", "n", "lead", F.floor(place / F.col("width")).cast("int").alias("block"))
+    bounds = placed.groupBy("lead", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    other = bounds.select("lead", F.col("block").alias("with"), F.col("least").alias("least_"), F.col("most").alias("most_"))
+    meet = (100 * F.col("most") >= percent * F.col("least_")) & (100 * F.col("most_") >= percent * F.col("least"))
+    reach = bounds.join(other, "lead").filter(meet).groupBy("lead", "block").agg(F.min("with").alias("low"), F.max("with").alias("high"))
+    return placed.join(reach, ["lead", "block"]).select("node", "n", "lead", "block", "low", "high")
+
+
 def _ceil(a: Column, b: int) -> Column:
     return -F.floor(-a / F.lit(b)).cast("long")
 
@@ -374,9 +371,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     pairable = materialise(own.groupBy("token", "lead").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token", "lead"), "jaccard-pairable")
     inner = own.join(pairable, ["token", "lead"]).groupBy("node").agg(F.count("*").alias("c"), F.max(size_of).alias("n"), F.any_value("lead").alias("lead"))
     inner = materialise(inner.filter(F.col("c") >= common(F.floor(F.col("n") * percent / 100))).select("node", "lead", "n"), "jaccard-inner")
-    sizes = inner.groupBy("lead").agg(F.count("*").alias("size")).filter("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    blocked = inner.join(sizes, "lead").select("node", "n", "lead", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    blocked = materialise(blocked, "jaccard-blocked")
+    blocked = materialise(_by_size(inner, percent), "jaccard-blocked")
     discard(pairable, inner)
 
     # pairs across clusters; a pair is led by the prefix of its shorter set
@@ -395,8 +390,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     pairs = materialise(pairs.select("a", "b", "na", "nb"), "jaccard-pairs")
     discard(mixed, homed, members, home)
 
-    # the sets of the nodes that may link, cut by fragments; documents that repeat a node bring the same. A node's cluster and
-    # whether it has pairs go along, so that the cut sets, the bulk of the data, are exchanged once and not joined again
+    # the texts of the nodes that may link; documents that repeat a node bring the same. A node's cluster and whether it has
+    # pairs go along. Texts are exchanged and not sets, of which they are a third; the sets of a pair of blocks are made by its task
     crossing = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("crossing", F.lit(True))
     ends = materialise(nodes.select("k1", "node").join(blocked.join(crossing, "node", "full_outer"), "node"), "jaccard-ends")
     discard(nodes, blocked)
@@ -406,12 +401,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
         bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
     bits = bits.ravel()
     texts = base.select("k1", "text").mapInArrow(partial(_needed, spark.sparkContext.broadcast(bits)), "k1 long, text string").repartition(parts, "k1")
-    segments = texts.join(ends, "k1").sortWithinPartitions("node").mapInArrow(partial(_segments, size, cuts), "node long, n long, lead long, block int, blocks int, crossing boolean, fragment int, items binary")
-    segments = materialise(segments, "jaccard-segments")
-    inside = segments.filter("lead is not null").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    inside = inside.select("lead", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "node", "block", "n", "fragment", "items")
-    inside = inside.repartition(parts, "lead", "one", "two").sortWithinPartitions("lead", "one", "two", "fragment").mapInArrow(partial(_clusters, percent), "a long, b long")
-    paired = segments.filter("crossing")
+    segments = materialise(texts.join(ends, "k1").drop("k1").withColumnRenamed("text", "items"), "jaccard-segments")
+    inside = segments.filter("lead is not null").withColumn("with", F.explode(F.sequence("low", "high")))
+    inside = inside.select("lead", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "node", "block", F.col("items").alias("text"))
+    inside = inside.repartition(parts, "lead", "one", "two").sortWithinPartitions("lead", "one", "two").mapInArrow(partial(_clusters, size, percent), "a long, b long")
+    paired = segments.filter("crossing").select("node", F.col("items").alias("text")).repartition(parts, "node").sortWithinPartitions("node")
+    paired = materialise(paired.mapInArrow(partial(_segments, size, cuts), "node long, fragment int, items binary"), "jaccard-cut")
     across = pairs.join(paired.select(F.col("node").alias("a"), "fragment", F.col("items").alias("x")), "a")
     across = across.join(paired.select(F.col("node").alias("b"), "fragment", F.col("items").alias("y")), ["b", "fragment"])
     across = across.select("a", "b", "na", "nb", "x", "y").mapInArrow(_partial, "a long, b long, na long, nb long, c long").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
@@ -421,7 +416,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     same = full.filter("id is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("hi")).filter("a <> hi").select("id", "a")
     same = full.join(same, "id").select("a", F.col("node").alias("b"))
     labels = materialise(components(inside.unionByName(across).unionByName(same)), "jaccard-labels")
-    discard(pairs, ends, segments)
+    discard(pairs, ends, segments, paired)
 
     labelled = materialise(full.join(labels, "node", "left").select("id", "n", F.coalesce("label", "node").alias("label")), "jaccard-labelled")
     smallest = labelled.groupBy("label").agg(F.min("id").alias("component_id"))

@@ -102,3 +102,31 @@ def test_cut_sets_are_exchanged_once(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joins)
     assert got == {i: i - i % 2 for i in range(400)}
     assert 0 < figures["exchanged"] < 1.25 * figures["items"]
+
+
+def test_blocks_follow_sizes(spark):
+    # documents of many sizes in one cluster, as those that share a passage: most can't link, so most blocks needn't meet
+    rows = [(i, 40 + i, 7) for i in range(6000)] + [(6000, 40, 8)]
+    got = jaccard_join._by_size(spark.createDataFrame(rows, "node long, n long, lead long"), 85).collect()
+    assert len(got) == 6000 and all(r.low <= r.block <= r.high for r in got)
+    at = {r.n: r for r in got}
+    assert all(at[n].low <= at[m].block <= at[n].high for n in at for m in (n * 85 // 100 + 1, n - 1, n + 1, n * 100 // 85) if m in at)
+    blocks = max(r.block for r in got) + 1
+    assert blocks >= 6000 / jaccard_join.BLOCK and sum(r.high - r.low + 1 for r in got) < 0.5 * blocks * len(got)
+
+
+def test_what_links_need_is_kept_as_texts(spark, monkeypatch):
+    rows = [(i, " ".join(f"{(i // 2) * 7919 + j:x}" for j in range(400 - i % 2))) for i in range(200)]
+    spark.createDataFrame([(1,)], "a int").count()
+    kept = []
+
+    def spied(df, label="step", f=jaccard_join.materialise):
+        out = f(df, label)
+        if label == "jaccard-segments":
+            kept.append(sum(len(r["items"]) for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", spied)
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    assert got == {i: i - i % 2 for i in range(200)}
+    assert kept and kept[0] <= sum(len(t) for _, t in rows) < 8 * 200 * 396
