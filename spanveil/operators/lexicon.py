@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanveil.functions.spans import find_spans, let
+from spanveil.functions.spans import let, sums_before
 from spanveil.rules.lexica import PACKS, Pack
 
 WORD = r"[\p{L}\p{N}]+(?:[-'][\p{L}\p{N}]+)*"
@@ -33,8 +33,9 @@ def lexicon_table(spark: SparkSession, packs: Sequence[Pack] = PACKS) -> DataFra
     return spark.createDataFrame(rows, "pack string, kind string, category string, term string").select("pack", "kind", "category", phrase_key(F.col("term")).alias("words"))
 
 
-def find_phrases(docs: DataFrame, lexicon: DataFrame, normal: Callable[[Column], Column] = F.lower, id_col: str = "doc_id", text_col: str = "text", per: Sequence[str] = ()) -> DataFrame:
-    """(id, s, e, value, and the columns of ``lexicon`` but ``words``) of the phrases that stand in the texts.
+def find_phrases(docs: DataFrame, lexicon: DataFrame, normal: Callable[[Column], Column] = F.lower, id_col: str = "doc_id", text_col: str = "text", per: Sequence[str] = (), reach: int = 0) -> DataFrame:
+    """(id, s, e, value, and the columns of ``lexicon`` but ``words``) of the phrases that stand in the texts; with ``reach``,
+    also ``after``, so many characters behind a phrase. Texts are read once.
 
     Of overlapping phrases (with equal ``per`` columns of the lexicon, such as its pack) the longest in words stays, of equals the
     leftmost; equal spans that are several entries all stay. Null texts have none; ids have to tell texts apart.
@@ -46,37 +47,53 @@ def find_phrases(docs: DataFrame, lexicon: DataFrame, normal: Callable[[Column],
     longest = entries.agg(F.max("n")).first()[0] or 0
     text = F.col(text_col)
 
+    none = F.array().cast("array<struct<s:int,ends:array<int>,words:array<string>,said:string>>")
+
     def ahead(w: Column) -> Column:
-        """Each word with the ends and normalised forms of those that a phrase from there can hold, and their text."""
+        """Each word that begins a phrase, with the ends and normalised forms of those that a phrase from there can hold, and
+        their text. Only these words' places are summed up."""
+        begins = F.array_compact(F.transform(w, lambda x, i: F.when(normal(x).isin(*firsts), i)))
+
+        def rows(at: Column, between: Column) -> Column:
+            def placed(before: Callable[[Column], Column]) -> Column:
+                def row(i: Column) -> Column:
+                    some = F.slice(w, i + 1, F.lit(longest))
+                    start = lambda k: before(k) + F.length(F.get(between, k))
+                    return let(F.transform(some, lambda y, k: start(i + k) + F.length(y)), lambda ends: let(start(i), lambda first: said(some, ends, first)))
+
+                return F.transform(at, row)
+
+            return sums_before(F.transform(w, lambda m, i: F.length(F.get(between, i)) + F.length(m)), placed)
 
-        def row(x: Column, i: Column) -> Column:
-            some = F.slice(w, i + 1, F.lit(longest))
-            ends = F.transform(some, lambda y: y["e"])
-            said = F.substring(text, x["s"] + 1, F.element_at(ends, -1) - x["s"])
-            return F.struct(x["s"].alias("s"), ends.alias("ends"), F.transform(some, lambda y: normal(y["value"])).alias("words"), said.alias("said"))
+        return let(begins, lambda at: F.when(F.size(at) > 0, let(F.split(text, WORD, -1), lambda between: rows(at, between))).otherwise(none))
 
-        return F.array_compact(F.transform(w, lambda x, i: F.when(normal(x["value"]).isin(*firsts), row(x, i))))
+    def said(some: Column, ends: Column, s: Column) -> Column:
+        whole = F.substring(text, s + 1, F.element_at(ends, -1) - s + reach)
+        return F.struct(s.alias("s"), ends.alias("ends"), F.transform(some, normal).alias("words"), whole.alias("said"))
 
     if not longest:
-        return docs.limit(0).crossJoin(lexicon.limit(0)).select(F.col(id_col), F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("value"), *(c for c in lexicon.columns if c != "words"))
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(let(find_spans(text, WORD), ahead)).alias("x")).select("id", "x.*")
+        return docs.limit(0).crossJoin(lexicon.limit(0)).select(F.col(id_col), F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("value"), *([F.lit("").alias("after")] if reach else []), *(c for c in lexicon.columns if c != "words"))
+    rows = docs.select(F.col(id_col).alias("id"), F.explode(let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), ahead)).alias("x")).select("id", "x.*")
     grams = F.array(*(F.struct(F.lit(n).alias("n"), F.array_join(F.slice("words", 1, n), " ").alias("key")) for n in range(1, longest + 1)))
     rows = rows.select("id", "s", "ends", "said", F.explode(grams).alias("g")).filter(F.col("g.n") <= F.size("ends"))
     rows = rows.select("id", "s", F.get("ends", F.col("g.n") - 1).alias("e"), "said", F.col("g.n").alias("n"), F.col("g.key").alias("key"))
-    hits = rows.withColumn("value", F.substring("said", F.lit(1), F.col("e") - F.col("s"))).drop("said").join(entries.drop("first"), ["n", "key"])
-    kept = _longest_first(hits, ("id", *per))
-    return kept.select(F.col("id").alias(id_col), "s", "e", "value", *(c for c in lexicon.columns if c != "words"))
+    wide = F.col("e") - F.col("s")
+    rows = rows.withColumns({"value": F.substring("said", F.lit(1), wide)} | ({"after": F.substring("said", wide + 1, F.lit(reach))} if reach else {}))
+    kept = _longest_first(rows.drop("said").join(entries.drop("first"), ["n", "key"]), ("id", *per))
+    return kept.select(F.col("id").alias(id_col), "s", "e", "value", *(["after"] if reach else []), *(c for c in lexicon.columns if c != "words"))
 
 
 def _longest_first(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
-    spans = hits.select(*keys, "s", "e", "n").distinct()
+    """The hits that stay; what else a span's hits hold goes along with it, so that they are found only once."""
+    rest = [c for c in hits.columns if c not in (*keys, "s", "e", "n")]
+    spans = hits.groupBy(*keys, "s", "e", "n").agg(F.collect_list(F.struct(*rest)).alias("rest"))
     before = Window.partitionBy(*keys).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(*keys).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0)
     marked = spans.withColumn("_new", F.coalesce(F.col("s") >= F.max("e").over(before), F.lit(True)).cast("int")).withColumn("_island", F.sum("_new").over(upto))
-    order = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("rank"), "s", "e")))
+    order = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("rank"), "s", "e", "rest")))
     fold = F.aggregate("_all", F.filter("_all", lambda x: F.lit(False)), lambda held, x: F.when(F.exists(held, lambda h: (h["s"] < x["e"]) & (x["s"] < h["e"])), held).otherwise(F.array_append(held, x)))
-    kept = marked.groupBy(*keys, "_island").agg(order.alias("_all")).select(*keys, F.explode(fold).alias("_x")).select(*keys, "_x.s", "_x.e")
-    return hits.join(kept, [*keys, "s", "e"])
+    kept = marked.groupBy(*keys, "_island").agg(order.alias("_all")).select(*keys, F.explode(fold).alias("_x"))
+    return kept.select(*keys, "_x.s", "_x.e", F.explode("_x.rest").alias("_r")).select(*keys, "s", "e", "_r.*")
 
 
 def lexicon_findings(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
