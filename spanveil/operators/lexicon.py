@@ -102,16 +102,16 @@ def lexicon_findings(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id"
     A bare label is never found. A term, or name, with a label of its category (for names: ``name``) in the ``NEAR`` characters
     before it is of medium confidence, else low. One with a negative term as near on either side, or that is one, is none.
     """
-    hits = find_phrases(docs, lexicon, id_col=id_col, text_col=text_col, per=("pack", "kind")).withColumnRenamed(id_col, "id")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
-    leads = hits.filter(F.col("kind").isin("honorific", "context")).join(texts, "id")
-    name = F.regexp_extract(F.substring("_t", F.col("e") + 1, F.lit(120)), r"^(?:\.?[ \t]+|:[ \t]*)(\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)*(?:[ \t]\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)*){0,2})", 1)
-    gap = F.length(F.regexp_extract(F.substring("_t", F.col("e") + 1, F.lit(120)), r"^(?:\.?[ \t]+|:[ \t]*)", 0))
-    names = leads.withColumn("value", name).filter("value <> ''").withColumn("s", F.col("e") + gap)
-    names = names.select("id", "pack", F.lit("name").alias("category"), "s", (F.col("s") + F.length("value")).alias("e"), "value").distinct()
-    found = hits.filter("kind = 'sensitive'").select("id", "pack", "category", "s", "e", "value").unionByName(names)
-    marks = hits.filter(F.col("kind").isin("label", "negative")).select("id", "pack", F.when(F.col("kind") == "label", F.col("category")).alias("category"), "s", "e", "value", F.col("kind"))
-    both = found.withColumn("kind", F.lit("found")).unionByName(marks)
+    hits = find_phrases(docs, lexicon, id_col=id_col, text_col=text_col, per=("pack", "kind"), reach=120).withColumnRenamed(id_col, "id")
+    lead = F.col("kind").isin("honorific", "context")
+    name = F.regexp_extract("after", r"^(?:\.?[ \t]+|:[ \t]*)(\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)*(?:[ \t]\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)*){0,2})", 1)
+    gap = F.length(F.regexp_extract("after", r"^(?:\.?[ \t]+|:[ \t]*)", 0))
+    # a lead gives way to the name behind it; labels and negative terms are marks
+    read = hits.withColumn("value", F.when(lead, name).otherwise(F.col("value"))).filter("value <> ''")
+    read = read.withColumn("s", F.when(lead, F.col("e") + gap).otherwise(F.col("s"))).withColumn("e", F.when(lead, F.col("s") + F.length("value")).otherwise(F.col("e")))
+    category = F.when(lead, "name").when(F.col("kind") != "negative", F.col("category"))
+    kind = F.when(F.col("kind").isin("label", "negative"), F.col("kind")).otherwise("found")
+    both = read.filter(lead | F.col("kind").isin("sensitive", "label", "negative")).select("id", "pack", category.alias("category"), "s", "e", "value", kind.alias("kind")).distinct()
     # the nearest label before, of the same pack and category; the nearest negative term on either side, of the same pack
     # a label counts from where it ends, so that one inside a term hides none before it
     ended = F.when(F.col("kind") == "label", F.col("e")).otherwise(F.col("s"))

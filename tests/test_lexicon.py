@@ -63,6 +63,6 @@ def test_texts_are_read_once(spark, tmp_path):
     texts = [" ".join(["~"] * 200 + ["Patient", "Herr Quirin Zabel", "mobile phone"] * k) for k in range(4)] + [" ".join(f"w{i}" for i in range(n)) + " Frau Zabel" for n in (126, 127, 128, 255, 256)]
     docs(spark, texts).write.parquet(f"{tmp_path}/texts")
     table = spark.read.parquet(f"{tmp_path}/texts")
-    for found in (find_phrases(table, lexicon_table(spark), per=("pack", "kind")),):
+    for found in (find_phrases(table, lexicon_table(spark), per=("pack", "kind")), lexicon_findings(table, lexicon_table(spark))):
         assert found._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
         assert found.count() and all(texts[r.doc_id][r.s : r.e] == r.value for r in found.collect())
